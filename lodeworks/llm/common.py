@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +70,11 @@ def text_of(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
+    """What make() returned first in this Python process: a worker loads a vocabulary once and not once a task."""
+    held = sys.modules.setdefault("_lodeworks_worker", types.ModuleType("_lodeworks_worker"))
+    if key not in vars(held).setdefault("kept", {}):
+        held.kept[key] = make()
+    return held.kept[key]

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeworks.llm import line_dedup, oracles, quality_rules
+from lodeworks.llm import bpe, line_dedup, oracles, packing, quality_rules, secret_scan, simhash
 from lodeworks.llm.common import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_report(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -18,5 +35,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_secret_scan, op5_packing, op7_simhash, op9_line_dedup, op10_quality_rules)}
 ORACLES = {"op9_line_dedup": oracles.OP9}
