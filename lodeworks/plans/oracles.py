@@ -48,33 +48,26 @@ BASKETS = f"{PURCHASES}, b AS (SELECT DISTINCT o_custkey AS basket, CAST(l_suppk
 
 
 def frequent(support: int) -> str:
-    """Itemsets of one to three items in at least support baskets."""
-    return f"""{BASKETS}, f1 AS (SELECT item AS a, count(*) AS freq FROM b GROUP BY 1 HAVING count(*) >= {support}),
-f2 AS (
-  SELECT x.item AS a, y.item AS b, count(*) AS freq FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item
-  GROUP BY 1, 2 HAVING count(*) >= {support}
-), f3 AS (
-  SELECT f2.a, f2.b, z.item AS c, count(*) AS freq
-  FROM f2 JOIN b x ON x.item = f2.a JOIN b y ON y.item = f2.b AND y.basket = x.basket
-  JOIN b z ON z.basket = x.basket AND z.item > f2.b GROUP BY 1, 2, 3 HAVING count(*) >= {support}
+    """f: itemsets (arr) in at least support baskets; a set grows by items after its last while its baskets suffice."""
+    return f"""WITH RECURSIVE {BASKETS}, f(arr, last, ids, freq) AS (
+  SELECT [item], item, list(basket), count(*) FROM b GROUP BY item HAVING count(*) >= {support}
+  UNION ALL
+  SELECT list_append(o.arr, b.item), b.item, list(b.basket), count(*)
+  FROM (SELECT arr, last, unnest(ids) AS basket FROM f) o JOIN b ON b.basket = o.basket AND b.item > o.last
+  GROUP BY o.arr, b.item HAVING count(*) >= {support}
 )"""
 
 
 def local(support: int, parts: int) -> str:
-    """Itemsets of one to three items whose count in a part reaches support / parts."""
+    """cand: itemsets whose count in a part reaches support / parts."""
     least = support / parts
-    return f"""{BASKETS}, l AS (SELECT basket % {parts} AS part, basket, item FROM b),
-l1 AS (SELECT part, item AS a FROM l GROUP BY 1, 2 HAVING count(*) >= {least}),
-l2 AS (
-  SELECT x.part, x.item AS a, y.item AS b FROM l x JOIN l y ON x.basket = y.basket AND x.item < y.item
-  GROUP BY 1, 2, 3 HAVING count(*) >= {least}
-), l3 AS (
-  SELECT l2.part, l2.a, l2.b, z.item AS c FROM l2 JOIN l x ON x.part = l2.part AND x.item = l2.a
-  JOIN l y ON y.basket = x.basket AND y.item = l2.b JOIN l z ON z.basket = x.basket AND z.item > l2.b
-  GROUP BY 1, 2, 3, 4 HAVING count(*) >= {least}
-), cand AS (
-  SELECT DISTINCT a AS items, 1 AS size FROM l1 UNION SELECT a || ',' || b, 2 FROM l2 UNION SELECT a || ',' || b || ',' || c, 3 FROM l3
-)"""
+    return f"""WITH RECURSIVE {BASKETS}, f(part, arr, last, ids) AS (
+  SELECT basket % {parts}, [item], item, list(basket) FROM b GROUP BY basket % {parts}, item HAVING count(*) >= {least}
+  UNION ALL
+  SELECT o.part, list_append(o.arr, b.item), b.item, list(b.basket)
+  FROM (SELECT part, arr, last, unnest(ids) AS basket FROM f) o JOIN b ON b.basket = o.basket AND b.item > o.last
+  GROUP BY o.part, o.arr, b.item HAVING count(*) >= {least}
+), cand AS (SELECT DISTINCT arr FROM f)"""
 
 
 TOKENS = """
@@ -165,7 +158,7 @@ FROM based f LEFT JOIN sums USING (u, i)"""
 
 
 AVERAGES = """
-SELECT n_name, round(avg(o_totalprice), 4) AS avg_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+SELECT n_name, round(avg(o_totalprice) + 1e-7, 4) AS avg_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY 1 ORDER BY avg(o_totalprice) DESC, n_name
 """
 
@@ -204,15 +197,12 @@ SELECT CAST(part AS INTEGER) AS part, count(o_custkey) AS n_items FROM (SELECT u
     "baskets_by_user": basket_rows("o_custkey", "l_suppkey"),
     "baskets_by_item": basket_rows("l_suppkey", "o_custkey"),
     "baskets_filtered": basket_rows("o_custkey", "l_suppkey", "HAVING count(*) > 40"),
-    "frequent_itemsets": f"""WITH {frequent(85)}
-SELECT a AS items, 1 AS size, freq FROM f1 UNION ALL SELECT a || ',' || b, 2, freq FROM f2 UNION ALL SELECT a || ',' || b || ',' || c, 3, freq FROM f3""",
-    "itemset_candidates": f"WITH {local(300, 4)} SELECT * FROM cand",
-    "itemset_two_pass": f"""WITH {frequent(300)}
-SELECT a AS items, freq FROM f1 UNION ALL SELECT a || ',' || b, freq FROM f2 UNION ALL SELECT a || ',' || b || ',' || c, freq FROM f3""",
-    "itemset_report": f"""WITH {frequent(180)}
-SELECT 'Frequent Itemsets' AS section, 1 AS size, string_agg('(''' || a || ''')', ',' ORDER BY a) AS line FROM f1 HAVING count(*) > 0
-UNION ALL SELECT 'Frequent Itemsets', 2, string_agg('(''' || a || ''', ''' || b || ''')', ',' ORDER BY a, b) FROM f2 HAVING count(*) > 0
-UNION ALL SELECT 'Frequent Itemsets', 3, string_agg('(''' || a || ''', ''' || b || ''', ''' || c || ''')', ',' ORDER BY a, b, c) FROM f3 HAVING count(*) > 0""",
+    "frequent_itemsets": f"{frequent(85)} SELECT array_to_string(arr, ',') AS items, len(arr) AS size, freq FROM f",
+    "itemset_candidates": f"{local(300, 4)} SELECT array_to_string(arr, ',') AS items, len(arr) AS size FROM cand",
+    "itemset_two_pass": f"{frequent(300)} SELECT array_to_string(arr, ',') AS items, freq FROM f",
+    "itemset_report": f"""{frequent(180)}
+SELECT 'Frequent Itemsets' AS section, len(arr) AS size, string_agg('(''' || array_to_string(arr, ''', ''') || ''')', ',' ORDER BY arr) AS line
+FROM f GROUP BY len(arr)""",
     "exact_jaccard": f"WITH {TOKENS}, {JACCARD} SELECT id1, id2, round(similarity, 6) AS similarity FROM sim",
     "minhash_signatures": f"WITH {SIGNED} SELECT id, string_agg(h, ',' ORDER BY k) AS signature FROM sig GROUP BY 1",
     "lsh_candidates": f"WITH {BANDED} SELECT id1, id2 FROM cand",
