@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodeworks.operators import clusters, communities, graph, itemsets, layout, profile, recommend, similarity
 from lodeworks.session import session
 from lodeworks.sources import readers, sinks
-from lodeworks.storage import stored
+from lodeworks.storage import clear, stored
 
 
 def run_profile(spark: SparkSession, reviews: str, out: str) -> None:
@@ -133,7 +133,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     given = vars(parser().parse_args(argv))
     run, _ = COMMANDS[given.pop("command")]
     began = time.perf_counter()
-    run(spark or session(), **given)
+    spark = spark or session()
+    try:
+        run(spark, **given)
+    finally:
+        clear(spark)
     print(f"Duration: {time.perf_counter() - began:.3f}")
 
 

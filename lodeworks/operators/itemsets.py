@@ -6,7 +6,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.storage import remove, stored
+from lodeworks.functions.hashing import dense_ids
+from lodeworks.storage import BROADCAST_ROWS, remove, stored
 
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int | None = None) -> DataFrame:
@@ -16,10 +17,14 @@ def baskets(df: DataFrame, basket: str, item: str, more_than: int | None = None)
 
 
 def frequent_itemsets(found: DataFrame, support: int) -> DataFrame:
-    """items, freq of every itemset in at least ``support`` baskets.
+    """items, freq of every itemset in at least ``support`` baskets, level by level."""
+    return _levels(found.withColumn("part", F.lit(0)), float(support)).select("items", F.col("n").alias("freq"))
 
-    FP-growth shards conditional trees by item, so no task holds all baskets. Its threshold is a share that is turned
-    into a rounded-up count; half a basket less keeps rounding from moving it."""
+
+def fp_growth(found: DataFrame, support: int) -> DataFrame:
+    """The same by FP-growth, which shards conditional trees by item: for long itemsets.
+
+    Its threshold is a share that is turned into a rounded-up count; half a basket less keeps rounding from moving it."""
     found = stored(found, "baskets")
     n = found.count()
     if not n or support > n:
@@ -31,26 +36,41 @@ def frequent_itemsets(found: DataFrame, support: int) -> DataFrame:
 def local_frequent(found: DataFrame, support: int, parts: int, part: F.Column | None = None) -> DataFrame:
     """Candidates: itemsets whose count within a part of the baskets reaches support / parts.
 
-    A part is pmod(basket, parts), or the given column. Level by level: an occurrence of a frequent set is extended by
-    each larger frequent item of its basket."""
+    A part is pmod(basket, parts), or the given column."""
     by = F.pmod(F.col("basket"), F.lit(parts)) if part is None else part
-    least = support / parts
-    rows = found.select(by.cast("int").alias("part"), "basket", F.explode("items").alias("item"))
-    single = rows.groupBy("part", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("part", "item")
-    items = stored(rows.join(single, ["part", "item"]), "items")
-    level = stored(items.select("part", "basket", F.array("item").alias("items")), "level")
-    out = items.select(F.array("item").alias("items")).distinct()
+    return _levels(found.withColumn("part", by.cast("int")), support / parts).select("items").distinct()
+
+
+def _levels(found: DataFrame, least: float) -> DataFrame:
+    """part, items, n of the itemsets that at least ``least`` baskets of a part hold.
+
+    Items and frequent sets travel as numbers that keep the items' order. An occurrence (basket, set, last item) is
+    extended by each larger frequent item of its basket and counted by (set, item), with partial sums before the shuffle."""
+    found = stored(found.select("part", "basket", "items"), "baskets")
+    rows = found.select("part", "basket", F.explode("items").alias("item"))
+    single = rows.groupBy("part", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    names = stored(dense_ids(single, "item", "code").select("item", F.col("code").cast("int").alias("code")), "names")
+    frequent = stored(single.join(names, "item").select("part", F.array("item").alias("items"), F.col("code").cast("long").alias("set"), "code", "n"), "frequent")
+    coded = rows.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "item")
+    items = stored(coded.join(frequent.select("part", "code"), ["part", "code"], "left_semi").select("part", "basket", "code"), "items")
+    level = items.select("part", "basket", F.col("code").cast("long").alias("set"), F.col("code").alias("last"))
+    out = frequent.select("part", "items", "n")
+    held: list[DataFrame] = []
     while True:
-        longer = level.join(items, ["part", "basket"]).where(F.col("item") > F.element_at("items", -1))
-        longer = longer.select("part", "basket", F.concat("items", F.array("item")).alias("items"))
-        counts = longer.groupBy("part", "items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        frequent = stored(counts.select("part", "items"), "frequent")
-        if frequent.isEmpty():
+        longer = level.join(items, ["part", "basket"]).where(F.col("code") > F.col("last")).select("part", "basket", "set", "code")
+        counts = longer.groupBy("part", "set", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        grown = counts.join(names, "code").join(frequent.select("part", "set", F.col("items").alias("head")), ["part", "set"])
+        now = grown.select("part", F.concat("head", F.array("item")).alias("items"), F.col("set").alias("head"), "code", "n")
+        now = stored(now.withColumn("set", F.monotonically_increasing_id()), "frequent")
+        if now.isEmpty():
+            for frame in held:
+                remove(frame)
             return out
-        out = out.unionByName(frequent.select("items")).distinct()
-        now = stored(longer.join(frequent, ["part", "items"], "left_semi"), "level")
-        remove(level)
-        level = now
+        out = out.unionByName(now.select("part", "items", "n"))
+        met = longer.withColumnRenamed("set", "head").join(now.select("part", "head", "code", "set"), ["part", "head", "code"])
+        level = stored(met.select("part", "basket", "set", F.col("code").alias("last")), "level")
+        held = [*held, level]
+        frequent = now
 
 
 def count_candidates(found: DataFrame, candidates: DataFrame, support: int) -> DataFrame:

@@ -28,23 +28,33 @@ def clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(1.0)), F.lit(5.0))
 
 
-def co_rated(ratings: DataFrame, pairs: DataFrame, key: str, shared: str) -> DataFrame:
-    """a, b, x, y: ratings of both sides of each pair for each shared entity."""
+def co_rated(ratings: DataFrame, pairs: DataFrame | None, key: str, shared: str) -> DataFrame:
+    """a < b, x, y: ratings of both sides for each shared entity, of all pairs that share one or at least of the given pairs.
+
+    Either the ratings meet on the shared entity, or each pair looks up its ratings, whichever makes fewer rows."""
     left = ratings.select(F.col(key).alias("a"), F.col(shared).alias("s"), F.col("stars").alias("x"))
     right = ratings.select(F.col(key).alias("b"), F.col(shared).alias("s"), F.col("stars").alias("y"))
-    return pairs.join(left, "a").join(right, ["b", "s"])
+    if pairs is not None:
+        n = F.count(F.lit(1))
+        met = ratings.groupBy(shared).agg(n.alias("n")).agg(F.sum(F.col("n") * F.col("n")) / 2).first()[0] or 0
+        rows, keys = ratings.agg(n, F.count_distinct(key)).first()
+        if met > pairs.count() * (rows / max(1, keys)):
+            return pairs.join(left, "a").join(right, ["b", "s"])
+    return left.join(right, "s").where("a < b")
 
 
-def cosine(ratings: DataFrame, pairs: DataFrame, key: str, shared: str) -> DataFrame:
-    """a, b, w of the pairs that share an entity; others have weight 0 and no row."""
+def cosine(ratings: DataFrame, pairs: DataFrame | None, key: str, shared: str) -> DataFrame:
+    """a, b, w of all pairs, or the given ones (a < b), that share an entity; others have weight 0 and no row."""
     norm = stats(ratings, key).select(key, "norm")
     dots = co_rated(ratings, pairs, key, shared).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    if pairs is not None:
+        dots = dots.join(pairs, ["a", "b"], "left_semi")
     with_a = dots.join(norm.select(F.col(key).alias("a"), F.col("norm").alias("na")), "a")
     with_b = with_a.join(norm.select(F.col(key).alias("b"), F.col("norm").alias("nb")), "b")
     return with_b.select("a", "b", F.try_divide("dot", F.sqrt(F.col("na") * F.col("nb"))).alias("w"))
 
 
-def pearson(ratings: DataFrame, pairs: DataFrame, key: str, shared: str) -> DataFrame:
+def pearson(ratings: DataFrame, pairs: DataFrame | None, key: str, shared: str) -> DataFrame:
     """a, b, w: correlation over what both have rated; 0 where the numerator is 0."""
     n = F.count(F.lit(1))
     sums = co_rated(ratings, pairs, key, shared).groupBy("a", "b").agg(
@@ -52,6 +62,8 @@ def pearson(ratings: DataFrame, pairs: DataFrame, key: str, shared: str) -> Data
         (F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / n).alias("qa"),
         (F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / n).alias("qb"),
     )
+    if pairs is not None:
+        sums = sums.join(pairs, ["a", "b"], "left_semi")
     none = F.abs("p") < 1e-9
     return sums.select("a", "b", F.when(none, F.lit(0.0)).otherwise(F.try_divide("p", F.sqrt(F.greatest(F.col("qa") * F.col("qb"), F.lit(0.0))))).alias("w"))
 
@@ -94,7 +106,8 @@ def predict_user_based(train: DataFrame, features: DataFrame, targets: DataFrame
     need = facts.where("branch = 'cf'").select("user", "item")
     others = train.select(F.col("user").alias("other"), "item", "stars")
     met = stored(need.join(others, "item"), "met")
-    weights = cosine(train, _ordered(met, "user", "other"), "user", "item").where("w > 0")
+    pairs = stored(_ordered(met, "user", "other"), "pairs")
+    weights = cosine(train, pairs, "user", "item").where("w > 0")
     st = stats(train, "user").select(F.col("user").alias("other"), "total", "n")
     each = met.withColumns({"a": F.least("user", "other"), "b": F.greatest("user", "other")}).join(weights, ["a", "b"]).join(st, "other")
     gap = F.col("stars") - F.try_divide(F.col("total") - F.col("stars"), F.col("n") - 1)

@@ -36,29 +36,38 @@ def exact_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All pairs (id1 < id2) of at least the threshold.
 
     Sets of n items in order of rarity: two sets that reach t share an item among their first n - ceil(t n) + 1, so only
-    these prefixes are joined, and frequent items hardly ever. Sizes out of proportion are no candidates."""
+    these prefixes are joined, and frequent items hardly ever. A pair's overlap is at most its matches in the prefixes and
+    what the shorter rest after the last match has; pairs that this or their sizes rule out are not compared."""
     sets = stored(sets, "sets")
     rarity = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    coded = stored(sets.select("id", F.explode("items").alias("item")).join(rarity, "item"), "coded")
-    ordered = coded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
+    coded = sets.select("id", F.explode("items").alias("item")).join(rarity.where("df > 1"), "item", "left")
+    # An item of one set alone matches nothing, but counts for the size and comes first.
+    ordered = coded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", F.when(F.col("df").isNotNull(), F.col("item")).alias("item")))).alias("s"))
     n = F.size("s")
-    prefix = ordered.select("id", n.alias("n"), F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))).alias("p"))
-    prefix = prefix.select("id", "n", F.col("p.item").alias("item"))
-    a = prefix.select(F.col("id").alias("id1"), F.col("n").alias("n1"), "item")
-    b = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "item")
+    prefix = ordered.select("id", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))).alias("at", "p"))
+    prefix = prefix.where("p.df is not null").select("id", "n", "at", F.col("p.item").alias("item"))
+    a = prefix.select(F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"), "item")
+    b = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), "item")
     near = (F.col("n1") >= F.col("n2") * threshold) & (F.col("n2") >= F.col("n1") * threshold)
-    pairs = a.join(b, "item").where((F.col("id1") < F.col("id2")) & near).select("id1", "id2").distinct()
-    return similarity(pairs, sets, threshold)
+    met = a.join(b, "item").where((F.col("id1") < F.col("id2")) & near).groupBy("id1", "id2", "n1", "n2")
+    counted = met.agg(F.count(F.lit(1)).alias("m"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
+    most = F.col("m") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9
+    return similarity(counted.where(most >= needed).select("id1", "id2"), sets, threshold)
 
 
 def signatures(sets: DataFrame, hashes: int = BANDS * ROWS) -> DataFrame:
     """id, signature (array<long>): the smallest value of each hash over the set's token indexes.
 
-    All hashes are aggregated in one pass over the tokens; nothing is multiplied by the number of hashes."""
+    Hashes are aggregated in passes of at most 50, which stay within generated code; tokens are not multiplied by hashes."""
     each = sets.select("id", F.explode("items").alias("item"))
-    coded = each.join(dense_ids(each, "item", "idx"), "item")
-    least = [F.least(F.min(linear_hash(F.col("idx"), k)), F.lit(MODULUS).cast("long")).alias(f"h{k}") for k in range(hashes)]
-    return coded.groupBy("id").agg(*least).select("id", F.array(*[f"h{k}" for k in range(hashes)]).alias("signature"))
+    coded = stored(each.join(dense_ids(each, "item", "idx"), "item").select("id", "idx"), "coded")
+    out, names = None, [f"h{k}" for k in range(hashes)]
+    for first in range(0, hashes, 50):
+        least = [F.least(F.min(linear_hash(F.col("idx"), k)), F.lit(MODULUS).cast("long")).alias(names[k]) for k in range(first, min(first + 50, hashes))]
+        part = coded.groupBy("id").agg(*least).select("id", F.array(*names[first : first + 50]).alias(f"s{first}"))
+        out = part if out is None else out.join(part, "id")
+    return out.select("id", F.concat(*[c for c in out.columns if c != "id"]).alias("signature"))
 
 
 def candidates(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

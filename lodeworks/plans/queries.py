@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions.hashing import dense_ids
 from lodeworks.operators import clusters, communities, graph, itemsets, layout, profile, recommend, similarity
 from lodeworks.sources import sinks, tables
-from lodeworks.storage import stored, table
+from lodeworks.storage import spread_table, stored, table
 
 SUPPORT, CANDIDATE_SUPPORT, REPORT_SUPPORT, PARTS = 85, 300, 180, 4
 SHARED, RADIUS_FACTOR, MERGE_LIMIT, K = 7, 1.03, 10.0, 5
@@ -143,7 +143,7 @@ def itemset_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _token_sets(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.token_sets(table(spark, d, "documents"), "doc_id", "text")
+    return similarity.token_sets(spread_table(spark, d, "documents"), "doc_id", "text")
 
 
 @query
@@ -188,25 +188,25 @@ def _pairs(rated: DataFrame, key: str, shared: str) -> DataFrame:
 @query
 def cosine_users(spark: SparkSession, d: str) -> DataFrame:
     rated = stored(tables.ratings(spark, d), "ratings")
-    return recommend.cosine(rated, _pairs(rated, "user", "item"), "user", "item").select("a", "b", six("w"))
+    return recommend.cosine(rated, None, "user", "item").select("a", "b", six("w"))
 
 
 @query
 def cosine_items(spark: SparkSession, d: str) -> DataFrame:
     rated = stored(tables.ratings(spark, d), "ratings")
-    return recommend.cosine(rated, _pairs(rated, "item", "user"), "item", "user").select("a", "b", six("w"))
+    return recommend.cosine(rated, None, "item", "user").select("a", "b", six("w"))
 
 
 @query
 def pearson_pairs(spark: SparkSession, d: str) -> DataFrame:
     rated = stored(tables.ratings(spark, d), "ratings")
-    return recommend.pearson(rated, _pairs(rated, "user", "item"), "user", "item").select("a", "b", six("w"))
+    return recommend.pearson(rated, None, "user", "item").select("a", "b", six("w"))
 
 
 @query
 def pearson_item_pairs(spark: SparkSession, d: str) -> DataFrame:
     rated = stored(tables.ratings(spark, d), "ratings")
-    return recommend.pearson(rated, _pairs(rated, "item", "user"), "item", "user").select("a", "b", six("w"))
+    return recommend.pearson(rated, None, "item", "user").select("a", "b", six("w"))
 
 
 @query

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of the tables that this process has stored and not removed.
+_kept: list[str] = []
 #: Rows and bytes up to which a counted table is broadcast. Larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
@@ -34,17 +36,29 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _kept.append(path)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _kept:
+        _kept.remove(path)
+
+
 def remove(stored_table: DataFrame) -> None:
     """Deletes a table made by stored() that nothing reads any more."""
-    context = stored_table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(stored_table.stored_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(stored_table.sparkSession, stored_table.stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process has stored: for the end of a program, when every result has been written."""
+    for path in list(_kept):
+        _delete(spark, path)
 
 
 def bounded(df: DataFrame, text_columns: tuple[str, ...] = ()) -> DataFrame:
@@ -56,3 +70,10 @@ def bounded(df: DataFrame, text_columns: tuple[str, ...] = ()) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """table(), dealt out to all cores where its files cannot be split into as many tasks; large tables stay as they are."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 32) else df

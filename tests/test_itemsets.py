@@ -46,6 +46,7 @@ def test_two_passes_are_exact(spark, baskets, support):
     found = frame(spark, baskets)
     expected = brute(baskets, support)
     assert rows(itemsets.frequent_itemsets(found, support)) == expected
+    assert rows(itemsets.fp_growth(found, support)) == expected
     candidates = itemsets.local_frequent(found, support, 2)
     assert set(expected) <= {tuple(r["items"]) for r in candidates.collect()}
     assert rows(itemsets.count_candidates(found, candidates, support)) == expected
