@@ -1,62 +1,23 @@
-"""What the operators share: shared storage, size-checked broadcasts, row packing, text expressions."""
+"""What the operators share: text expressions, a worker's cache, and the library's shared storage and checked broadcasts."""
 
 from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeworks.storage import bounded, new_path, remove, spread_table, stored, table
+
+__all__ = ["bounded", "new_path", "remove", "spread_table", "stored", "table"]
+
 #: White space of the word and line rules: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows and bytes up to which a counted table is broadcast. Larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file:///tmp/checkpoints"
-    return path.rstrip("/") + "/lodeworks"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and no executor is needed for it."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def remove(stored_table: DataFrame) -> None:
-    """Deletes a table made by stored() that nothing reads any more."""
-    context = stored_table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(stored_table.stored_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def bounded(df: DataFrame, text_columns: tuple[str, ...] = ()) -> DataFrame:
-    """df, marked for broadcast if its counted rows and string bytes are within the bounds; else df itself, joined by shuffle."""
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text_columns), F.lit(0))
-    n, width = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and width <= BROADCAST_BYTES else df
-
 
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, other letters kept."""
@@ -68,10 +29,6 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
     """What make() returned first in this Python process: a worker loads a vocabulary once and not once a task."""
     held = sys.modules.setdefault("_lodeworks_worker", types.ModuleType("_lodeworks_worker"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import bpe, license_scan, line_dedup, oracles, packing, quality_gam, quality_rules, secret_scan, simhash, topk, warc
-from lodeworks.llm.common import table
+from lodeworks.llm.common import spread_table, table
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,39 +15,39 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.round_trip_report(spread_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(spread_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return quality_gam.score(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(spread_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.report(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.report(spread_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.group_report(table(spark, sf_dir, "documents"))
+    return simhash.group_report(spread_table(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.report(table(spark, sf_dir, "documents"))
+    return license_scan.report(spread_table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return line_dedup.dedup_report(spread_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, model)
 

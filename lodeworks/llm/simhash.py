@@ -10,7 +10,7 @@ partition of buckets, windows of rows are compared with the rows up to the end o
 are stored as 64 vertical planes, three planes at a time are added by carry-save to four bitwise counters, and a window is
 abandoned once all its lanes exceed the radius. A partition reports a spanning forest of its links, never all pairs.
 Buckets of over ``TILE`` fingerprints are cut into tiles, and the pairs of tiles are dealt to tasks, so that no task
-holds a hot bucket. Components come from alternating star contraction; every round is a stored table.
+holds a hot bucket. Components come from the library's star contraction, whose rounds are stored tables.
 
 Defined cases: a null text has no words, so fingerprint zero; a null doc_id belongs to its group but is no one's
 smallest id (a group of nulls only has component null); repeated rows are in one group; an empty table gives an empty
@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import bounded, remove, stored, text_of
+from lodeworks.llm.common import bounded, stored, text_of
+from lodeworks.operators.graph import components
 
 RADIUS = 4
 SHINGLE = 4
@@ -232,34 +233,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return sorted_rows.select("key", "tile", "fp").mapInArrow(kernel, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(v, c): the smallest vertex c of the component of each vertex that an edge (a, b) touches.
-
-    Alternating large-star and small-star contraction; ends when a round changes nothing."""
-    pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("c")).distinct(), "edges")
-    mark = pairs.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("v", "c"), F.lit(1 << 40)))).first()
-    for _ in range(max_rounds):
-        both = pairs.unionByName(pairs.select(F.col("c").alias("v"), F.col("v").alias("c")))
-        least = both.groupBy("v").agg(F.min("c").alias("m")).select("v", F.least("v", "m").alias("m"))
-        # Large star: larger neighbours of v go to v's minimum.
-        large = both.where("c > v").join(least, "v").select(F.col("c").alias("v"), F.col("m").alias("c")).where("v <> c").distinct()
-        # Small star: v and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("v").agg(F.min("c").alias("m"))
-        small = large.join(low, "v").select(F.col("c").alias("v"), F.col("m").alias("c")).where("v <> c").unionByName(low.select("v", F.col("m").alias("c")))
-        now = stored(small.distinct(), "edges")
-        remove(pairs)
-        pairs = now
-        new = pairs.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("v", "c"), F.lit(1 << 40)))).first()
-        if new == mark:
-            return pairs.unionByName(pairs.select(F.col("c").alias("v"), "c").distinct())
-        mark = new
-    raise RuntimeError("components did not settle")
-
-
 def groups(prints: DataFrame) -> DataFrame:
     """doc_id, k1, k2, fp, c (the group), component_id (the smallest doc_id of the group). prints: stored fingerprints."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    member = stored(components(links(distinct.select("fp"))).select(F.col("v").alias("fp"), F.col("c")), "members")
+    linked = links(distinct.select("fp")).toDF("src", "dst")
+    member = stored(components(linked).select(F.col("node").alias("fp"), F.col("component").alias("c")), "members")
     named = distinct.join(member, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     smallest = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     of_print = stored(named.join(smallest, "c").select("fp", "c", "component_id"), "groups")

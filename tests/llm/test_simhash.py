@@ -105,14 +105,6 @@ def test_links_lose_nothing(spark, monkeypatch, tile):
     assert len(found) <= 15 * len(prints)
 
 
-def test_components(spark):
-    rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
-    found = {r.v: r.c for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    label = roots(200, edges)
-    assert found == {x: label[x] for a, b in edges if a != b for x in (a, b)}
-
-
 def test_empty_table(spark):
     assert simhash.group_report(empty(spark)).count() == 0
     assert simhash.drop_near_copies(empty(spark)).count() == 0
