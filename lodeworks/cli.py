@@ -39,7 +39,7 @@ def run_averages(spark: SparkSession, reviews: str, businesses: str, out: str, t
     report = {}
     for name, rows in (("m1", lambda: found.collect()[:10]), ("m2", lambda: found.take(10))):
         began = time.perf_counter()
-        rows()
+        print([(r.city, r.avg_stars) for r in rows()])
         report[name] = time.perf_counter() - began
     report["explanation"] = "m1 brings all rows to the driver and keeps ten; m2 brings ten. m1 runs first."
     sinks.write_json_document(report, timing)
@@ -83,8 +83,10 @@ def run_recommend(spark: SparkSession, train: str, features: str, test: str, cas
         3: lambda: recommend.predict_item_based(trained, known, wanted),
         4: lambda: recommend.predict_hybrid(trained, known, wanted),
     }
-    found = how[case]().select("user", "item", "prediction").toDF("user_id", "business_id", "prediction")
-    sinks.write_spaced_csv(found, out)
+    found = stored(how[case]().select("user", "item", "prediction"), "predictions")
+    sinks.write_spaced_csv(found.toDF("user_id", "business_id", "prediction"), out)
+    # Only where the test file has stars.
+    print(f"RMSE: {recommend.rmse(recommend.dedupe(wanted.where('stars is not null')), found).first().rmse}")
 
 
 def _graph(spark: SparkSession, pairs: str, least: int) -> DataFrame:

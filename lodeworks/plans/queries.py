@@ -293,6 +293,19 @@ def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
     return each.select("cluster", "n", "dim", F.round("v.sums", 6).alias("s"), F.round("v.squares", 6).alias("q"))
 
 
+@query
+def cluster_stats_merged(spark: SparkSession, d: str) -> DataFrame:
+    stats = clusters.cluster_stats(tables.embedding_points(spark, d), "truth").withColumn("into", F.col("cluster") % 2)
+    rows = clusters.shapes(clusters.merged(stats, "into"))
+    each = rows.select("cluster", "n", F.posexplode(F.arrays_zip("centroid", "sigma")).alias("dim", "v"))
+    return each.select("cluster", "n", "dim", F.round("v.centroid", 6).alias("c"), F.round("v.sigma", 6).alias("sigma"))
+
+
+@query
+def rows_by_key_partition(spark: SparkSession, d: str) -> DataFrame:
+    return layout.most_partitions_of_a_key(layout.by_key(table(spark, d, "orders").select("o_custkey"), 8, "o_custkey"), "o_custkey")
+
+
 @query
 def mahalanobis_all(spark: SparkSession, d: str) -> DataFrame:
     points = tables.embedding_points(spark, d)

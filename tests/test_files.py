@@ -6,6 +6,7 @@ import random
 import pytest
 
 from lodeworks import cli
+from lodeworks.operators import layout
 from lodeworks.sources import readers
 
 
@@ -73,7 +74,9 @@ def test_points(spark, tmp_path):
     assert [tuple(r) for r in readers.points(spark, str(tmp_path / "p")).collect()] == [(7, -1, [0.5, 2.0]), (8, 3, [1.0, 2.0])]
 
 
-def test_min_partitions(spark):
+def test_partitions(spark):
+    assert layout.at_most(spark.range(10).repartition(6), 4).rdd.getNumPartitions() == 4
+    assert layout.by_key(spark.range(10), 3, "id").rdd.getNumPartitions() == 3
     assert readers.with_min_partitions(spark.range(10).coalesce(1), 5).rdd.getNumPartitions() == 5
 
 
