@@ -128,16 +128,22 @@ def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
 
 
+def opened(folder: str):
+    """File system and path of a folder, for the workers' own reads and writes: local or mounted, HDFS, S3, GCS."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3" + folder[folder.index(":") :] if folder.startswith(("s3a:", "s3n:")) else folder)
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 1) -> DataFrame:
     """Writes the archives to folder and returns the stored manifest: file, records, bytes."""
 
     def kernel(batches):
         import uuid
 
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         store.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.gz"
         n = size = 0
@@ -191,9 +197,7 @@ def read_runs(manifest: DataFrame, folder: str) -> DataFrame:
         return row["urlkey"], row["ts"], -1 << 63 if row["page_id"] is None else row["page_id"], row["file"], row["offset"]
 
     def kernel(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 run = []
@@ -244,7 +248,7 @@ class LoserTree:
             self.winner = i
 
 
-def merged_index(runs: DataFrame, rows_a_range: int = 200_000) -> DataFrame:
+def merged_index(runs: DataFrame, rows_a_range: int = 100_000) -> DataFrame:
     """INDEX and part, seq: the rows of all runs in order of URL key, timestamp and page_id. runs: a stored table."""
     spark = runs.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(runs.count() / rows_a_range))

@@ -52,9 +52,7 @@ def test_index_is_in_order_and_points_to_records(spark):
     rows = sorted(warc.capture_index(pages, folder=folder).collect(), key=lambda r: (r.part, r.seq))
     keys = [(r.urlkey, r.ts, -(1 << 63) if r.page_id is None else r.page_id) for r in rows]
     assert keys == sorted(keys) and len({r.file for r in rows}) > 1
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = warc.opened(folder)
     for r in rows[::7]:
         with store.open_input_file(f"{root}/{r.file}") as f:
             f.seek(r.offset)
