@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import worker_cache
+from lodeworks.llm.common import Remembered, worker_cache
 
 SUFFIX = "</w>"
 #: Stands for the suffix inside the encoder; the vocabulary's symbols are all below U+0144.
@@ -42,6 +42,15 @@ LATE = """
 0x1E6E0-0x1E6E2 0x1E6E4-0x1E6E5 0x1E6E7-0x1E6ED 0x1E6F0-0x1E6F4 0x1E6FE-0x1E6FF 0x2B73A-0x2B73F
 0x2B81E-0x2B81E 0x2CEA2-0x2CEAD 0x323B0-0x33479 0x3D000-0x3FC3F
 """
+#: Marks that the library's normal form neither moves nor joins, as its tables are older.
+LATE_MARKS = """
+0x7FD-0x7FD 0x898-0x89F 0x8CA-0x8D3 0x9FE-0x9FE 0xC3C-0xC3C 0xD3B-0xD3C 0xEBA-0xEBA 0x1715-0x1715
+0x1ABF-0x1ACE 0x1DF6-0x1DFA 0xA82C-0xA82C 0x10D24-0x10D27 0x10EAB-0x10EAC 0x10EFD-0x10EFF 0x10F46-0x10F50
+0x10F82-0x10F85 0x11070-0x11070 0x1133B-0x1133B 0x1145E-0x1145E 0x11839-0x1183A 0x11930-0x11930
+0x1193D-0x1193E 0x11943-0x11943 0x119E0-0x119E0 0x11A34-0x11A34 0x11A47-0x11A47 0x11A99-0x11A99
+0x11D42-0x11D42 0x11D44-0x11D45 0x11D97-0x11D97 0x11F41-0x11F42 0x16FF0-0x16FF1 0x1E08F-0x1E08F
+0x1E130-0x1E136 0x1E2AE-0x1E2AE 0x1E2EC-0x1E2EF 0x1E4EC-0x1E4EF
+"""
 #: Capital letters that Python's tables lack, with their small letters (runs of one shift each).
 LATE_LOWER = """
 0x1C89-0x1C89:0x1C8A 0xA7CB-0xA7CB:0x264 0xA7CC-0xA7CC:0xA7CD 0xA7CE-0xA7CE:0xA7CF 0xA7D2-0xA7D2:0xA7D3
@@ -57,9 +66,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+def character_class(runs: str) -> str:
+    """The inside of a character class of runs of code points."""
+    return "".join("\\U{:08x}-\\U{:08x}".format(*(int(x, 16) for x in run.split("-"))) for run in runs.split())
+
+
 def settled(pattern: str) -> str:
     """The split pattern with LATE counted as neither letters nor digits; slower, so for texts with such letters alone."""
-    span = "".join("\\U{:08x}-\\U{:08x}".format(*(int(x, 16) for x in run.split("-"))) for run in LATE.split())
+    span = character_class(LATE)
     for old, new in ((r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{span}]]"), (r"[\p{L}]", rf"[\p{{L}}--[{span}]]"), (r"[\p{N}]", rf"[\p{{N}}--[{span}]]")):
         pattern = pattern.replace(old, new)
     return pattern
@@ -82,7 +96,7 @@ def of_worker(vocabulary_file: str) -> WordBpe:
 class WordBpe:
     """Encoder and decoder of a word-level BPE vocabulary file."""
 
-    CACHE = 150_000
+    CACHE = 250_000
 
     def __init__(self, vocabulary_file: str):
         import ahocorasick
@@ -132,12 +146,14 @@ class WordBpe:
         self.blob, self.offsets = b"".join(parts), offsets
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words_of = regex.compile(pattern).findall
+        self.words_of_ascii = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII).findall
         self.words_of_rare = regex.compile(settled(pattern), regex.V1).findall
         self.late_lower = late_lower()
+        self.marks = re.compile(f"([{character_class(LATE_MARKS)}])")
         self.rare = re.compile("[\u0558-\U0010ffff]").search
         self.parts_of = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-        self.symbols = byte_symbols()
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.symbols = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+        self.cache = Remembered(self.entry, self.CACHE)
 
     def _plain(self, token: str) -> list[int]:
         """The token's symbols, merged by rank one pair at a time."""
@@ -187,36 +203,39 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word (of the split text)."""
-        text = "".join(self.symbols[b] for b in word.encode("utf-8", "surrogatepass")) + MARK
+        text = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols) + MARK
         whole = self.ids.get(text)
         if whole is not None and whole in self.reachable:
             return [whole]
         n = len(text)
-        longest = [0] * n
         found = [-1] * n
         for end, (size, token) in self.automaton.iter(text):
-            at = end + 1 - size
-            if size > longest[at]:
-                longest[at], found[at] = size, token
+            found[end + 1 - size] = token  # ends ascend, so the longest token of a position comes last
         alive = bytearray(b"\x01") * (n + 1)
         alive[n - 1] = 0  # the marker belongs to the last symbol
+        length, prefix, compatible = self.length, self.prefix, self.compatible
         out: list[int] = []
-        at, token = 0, found[0]
+        at, token, last = 0, found[0], -1
         while at < n:
-            last = out[-1] if out else -1
             while token >= 0:
-                end = at + self.length[token]
-                if alive[end] and (last < 0 or self.may_follow(last, token)):
-                    break
-                token = self.prefix.get(token, -1)
+                end = at + length[token]
+                if alive[end]:
+                    if last < 0:
+                        break
+                    fits = compatible.get((last, token))
+                    if fits or (fits is None and self.may_follow(last, token)):
+                        break
+                token = prefix.get(token, -1)
             if token >= 0:
                 out.append(token)
-                at += self.length[token]
+                last = token
+                at += length[token]
                 token = found[at] if at < n else -1
             else:
                 alive[at] = 0
                 token = out.pop()
-                at -= self.length[token]
+                last = out[-1] if out else -1
+                at -= length[token]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -224,22 +243,25 @@ class WordBpe:
         blob, offsets = self.blob, self.offsets
         return b" ".join([blob[offsets[i] : offsets[i + 1]] for i in ids]).decode("utf-8")
 
-    def words(self, text: str):
+    def words(self, text: str) -> list[str]:
         """Words of the text in turn; special tokens as they are."""
+        if "<|" not in text:
+            return self._split(text)
+        out: list[str] = []
         for k, part in enumerate(self.parts_of(text)):
             if k % 2:
-                yield part
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                    # Letter by letter: str.lower() has a rule of its own for a final sigma.
-                    part = "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
-                    if self.rare(part):
-                        yield from self.words_of_rare(part.translate(self.late_lower))
-                    else:
-                        yield from self.words_of(part)
-                else:
-                    yield from self.words_of(part.lower())
+                out.append(part)
+            else:
+                out += self._split(part)
+        return out
+
+    def _split(self, part: str) -> list[str]:
+        if part.isascii():
+            return self.words_of_ascii(part.lower())
+        part = "".join([unicodedata.normalize("NFC", x) for x in self.marks.split(part)]) if self.marks.search(part) else unicodedata.normalize("NFC", part)
+        # Letter by letter: str.lower() has a rule of its own for a final sigma.
+        part = "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
+        return self.words_of_rare(part.translate(self.late_lower)) if self.rare(part) else self.words_of(part)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -248,24 +270,17 @@ class WordBpe:
             out += self.encode_word(word) if special is None else [special]
         return out
 
-    def entry(self, word: str) -> tuple[int, str, bytes]:
-        """Of a word: number of ids, ids as text, decoded tokens."""
+    def entry(self, word: str) -> tuple[bytes, bytes]:
+        """Ids of a word as text, and its decoded tokens."""
         special = self.special.get(word)
         ids = self.encode_word(word) if special is None else [special]
-        made = (len(ids), " ".join(map(str, ids)), self.decode(ids).encode("utf-8"))
-        if len(word) <= 64:
-            if len(self.cache) >= self.CACHE:
-                self.cache.clear()
-            self.cache[word] = made
-        return made
+        return b" ".join([b"%d" % i for i in ids]), self.decode(ids).encode("utf-8")
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text."""
-        get = self.cache.get
-        entries = [get(w) or self.entry(w) for w in self.words(text)]
-        ids = " ".join([e[1] for e in entries]).encode()
-        decoded = b" ".join([e[2] for e in entries])
-        return sum([e[0] for e in entries]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        words = self.words(text)
+        ids, decoded = map(b" ".join, zip(*map(self.cache.__getitem__, words))) if words else (b"", b"")
+        return ids.count(b" ") + 1 if words else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def encode(docs: DataFrame, vocabulary_file: str) -> DataFrame:

@@ -35,3 +35,22 @@ def worker_cache(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in vars(held).setdefault("kept", {}):
         held.kept[key] = make()
     return held.kept[key]
+
+
+class Remembered(dict):
+    """make(word) of words lately met, and of those met before that: frequent words outlive a full cache; long words are not kept."""
+
+    def __init__(self, make: Callable[[str], Any], size: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, word: str) -> Any:
+        made = self.older.pop(word, None)
+        if made is None:
+            made = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[word] = made
+        return made

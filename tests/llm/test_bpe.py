@@ -52,6 +52,16 @@ def test_every_code_point(own, library):
         same(own, library, " ".join(f"a{c}1" for c in every[at : at + 500]))
 
 
+def test_marks(own, library):
+    """Marks of all classes beside one another, also those that are newer than the library's tables."""
+    rng = random.Random(5)
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    for _ in range(1500):
+        same(own, library, "".join(rng.choice([rng.choice("aeoAE "), rng.choice(marks)]) for _ in range(12)))
+
+
 def merged(own, ids, a, b):
     """The plain merge of two tokens' symbols: lowest rank first, leftmost first."""
     def symbols(i):
