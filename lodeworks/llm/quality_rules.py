@@ -197,7 +197,7 @@ def filter_documents(docs: DataFrame, model: dict, min_words: int = 50, max_repe
     return docs.mapInArrow(kernel, docs.schema)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_chars: int = 200_000) -> list[tuple[str, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_chars: int = 50_000) -> list[tuple[str, int]]:
     """Texts and labels (1: boilerplate) of at most max_documents documents of each class; no text is longer than max_chars."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))

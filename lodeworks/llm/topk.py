@@ -7,7 +7,7 @@ Index: every vector is keyed by its nearest pivot and the distance to it; the ta
 that equal vectors spread) and written to the shared folder. Pivots are centres fitted on a bounded sample
 (``sample_rows`` rows, the first by hash); every row is indexed.
 
-Search: queries come in blocks of at most ``query_block``. A block is broadcast with each query's k-th best score in the
+Search: queries come in blocks of about ``query_block`` (fewer where vectors are wide). A block is broadcast with each query's k-th best score in the
 sample, a lower bound of its true k-th best. A task cuts its sorted rows into annuli (a pivot, a span of distances),
 ranks them for each query by the bound max(0, r - hi, lo - r), r being the query's distance to the pivot, visits them
 nearest first, raises the query's k-th best, and stops where the bound shows that no better score can follow. Tasks
@@ -34,6 +34,9 @@ from lodeworks.llm.common import stored
 SCALE = 64
 LIMIT = 1 << 28
 NO_ID = (1 << 63) - 1
+#: Bounds of memory: queries that meet an annulus at once, and bytes of a query block's or the sample's vectors.
+QUERIES_AT_ONCE = 4096
+BLOCK_BYTES = 64 << 20
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -153,14 +156,15 @@ def search_rows(
         if not len(open_):
             return
         by = np.argsort(at, kind="stable")
-        for a, mine in zip(*_groups(at[by], open_[by])):
+        for a, group in zip(*_groups(at[by], open_[by])):
             a_rows = slice(begins[a], ends[a])
-            score = queries[mine] @ x[a_rows].T
-            i, j = np.nonzero(score >= best.floor[mine][:, None])
-            j += begins[a]
-            other = rows[j] != query_rows[mine[i]]
-            i, j = i[other], j[other]
-            best.add(mine[i], score[i, j - begins[a]].astype(np.int64), ids[j])
+            for mine in np.split(group, range(QUERIES_AT_ONCE, len(group), QUERIES_AT_ONCE)):
+                score = queries[mine] @ x[a_rows].T
+                i, j = np.nonzero(score >= best.floor[mine][:, None])
+                j += begins[a]
+                other = rows[j] != query_rows[mine[i]]
+                i, j = i[other], j[other]
+                best.add(mine[i], score[i, j - begins[a]].astype(np.int64), ids[j])
         if best.size > 500_000 or step < 2:
             best.settle()
 
@@ -172,7 +176,7 @@ def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.nd
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE, pivots: int = 64, sample_rows: int = 8192,
-    query_block: int = 65_536, annulus: int = 1024, rows_at_once: int = 65_536,
+    query_block: int = 16_384, annulus: int = 1024, rows_at_once: int = 65_536,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row for which is_query (over vec_id) holds."""
     spark = vectors.sparkSession
@@ -182,6 +186,8 @@ def top_k(
         return spark.createDataFrame([], RESULT)
     most, width = facts.most, max(1, facts.width)
     dtype = exact_type(width, most)
+    most_rows = max(256, BLOCK_BYTES // (8 * width))
+    query_block, sample_rows = min(query_block, most_rows), min(sample_rows, most_rows)
     sample = base.orderBy(F.xxhash64("vec_id", "q"), "row").limit(sample_rows).toArrow()
     seen = matrix(sample.column("q").combine_chunks(), width, dtype)
     seen_rows = sample.column("row").to_numpy()
