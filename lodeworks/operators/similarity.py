@@ -32,8 +32,43 @@ def similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return measured.where(F.col("similarity") >= threshold)
 
 
+def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets with equal items are one class: (id, items) of each class's smallest id, and the membership (id, rep)."""
+    sets = sets.select("id", F.array_sort("items").alias("items"))
+    reps = stored(sets.groupBy("items").agg(F.min("id").alias("rep")), "classes")
+    # Skewed classes are split by the join; items are compared whole.
+    member = stored(sets.join(reps, "items").select("id", "rep"), "members")
+    return reps.select(F.col("rep").alias("id"), "items"), member
+
+
+def expanded(found: DataFrame, member: DataFrame) -> DataFrame:
+    """id1 < id2, similarity of all ids, from pairs of representatives and the membership."""
+    one = member.select(F.col("rep").alias("id1"), F.col("id").alias("x"))
+    two = member.select(F.col("rep").alias("id2"), F.col("id").alias("y"))
+    across = found.join(one, "id1").join(two, "id2").select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), "similarity")
+    inside = one.join(two, F.col("id1") == F.col("id2")).where("x < y").select(F.col("x").alias("id1"), F.col("y").alias("id2"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(inside)
+
+
+def link_counts(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """id, class_id, n_links (sets of at least the threshold, its own left out) of every set; copies are not expanded to pairs."""
+    reps, member = classes(sets)
+    found = stored(representative_pairs(reps, threshold), "pairs")
+    size = member.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    both = found.select(F.col("id1").alias("rep"), F.col("id2").alias("other")).unionByName(found.select(F.col("id2").alias("rep"), F.col("id1").alias("other")))
+    other = both.join(size.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("links"))
+    counts = size.join(other, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return member.join(counts, "rep").select("id", F.col("rep").alias("class_id"), "n_links")
+
+
 def exact_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """All pairs (id1 < id2) of at least the threshold.
+    """All pairs (id1 < id2) of at least the threshold. Equal sets are compared once; their pairs come from the membership."""
+    reps, member = classes(sets)
+    return expanded(representative_pairs(reps, threshold), member)
+
+
+def representative_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Pairs (id1 < id2) of at least the threshold, of different sets.
 
     Sets of n items in order of rarity: two sets that reach t share an item among their first n - ceil(t n) + 1, so only
     these prefixes are joined, and frequent items hardly ever. A pair's overlap is at most its matches in the prefixes and
@@ -81,9 +116,9 @@ def candidates(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
 
 def similar_by_minhash(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Candidates that exact comparison confirms: no false pair; a pair of similarity s is found with probability recall(s)."""
-    sets = stored(sets, "sets")
-    signed = stored(signatures(sets, bands * rows), "signatures")
-    return similarity(candidates(signed, bands, rows), sets, threshold)
+    reps, member = classes(sets)
+    signed = stored(signatures(reps, bands * rows), "signatures")
+    return expanded(similarity(candidates(signed, bands, rows), reps, threshold), member)
 
 
 def recall(s: float, bands: int = BANDS, rows: int = ROWS) -> float:

@@ -204,6 +204,10 @@ SELECT CAST(part AS INTEGER) AS part, count(o_custkey) AS n_items FROM (SELECT u
 SELECT 'Frequent Itemsets' AS section, len(arr) AS size, string_agg('(''' || array_to_string(arr, ''', ''') || ''')', ',' ORDER BY arr) AS line
 FROM f GROUP BY len(arr)""",
     "exact_jaccard": f"WITH {TOKENS}, {JACCARD} SELECT id1, id2, round(similarity, 6) AS similarity FROM sim",
+    "jaccard_links": f"""WITH {TOKENS}, {JACCARD},
+linked AS (SELECT id, count(*) AS k FROM (SELECT id1 AS id FROM sim UNION ALL SELECT id2 FROM sim) GROUP BY 1),
+kind AS (SELECT id, list_sort(list(item)) AS items FROM tok GROUP BY 1)
+SELECT id, min(id) OVER (PARTITION BY items) AS class_id, coalesce(k, 0) AS n_links FROM kind LEFT JOIN linked USING (id)""",
     "minhash_signatures": f"WITH {SIGNED} SELECT id, string_agg(h, ',' ORDER BY k) AS signature FROM sig GROUP BY 1",
     "lsh_candidates": f"WITH {BANDED} SELECT id1, id2 FROM cand",
     "lsh_similar": f"WITH {BANDED}, {JACCARD} SELECT id1, id2, round(similarity, 6) AS similarity FROM sim JOIN cand USING (id1, id2)",

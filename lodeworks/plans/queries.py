@@ -151,6 +151,11 @@ def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return similarity.exact_pairs(_token_sets(spark, d), 0.5).select("id1", "id2", six("similarity"))
 
 
+@query
+def jaccard_links(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.link_counts(_token_sets(spark, d), 0.5)
+
+
 @query
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
     return similarity.signatures(_token_sets(spark, d)).select("id", F.array_join("signature", ",").alias("signature"))

@@ -31,6 +31,17 @@ def test_exact_pairs(spark, sets, t):
     assert got(similarity.exact_pairs(sets_frame(spark, sets), t)) == pytest.approx(brute(sets, t))
 
 
+def test_copies_are_counted_not_expanded(spark, sets):
+    many = sets + [sets[0]] * 25 + [sets[5]] * 3
+    expected = {i: 0 for i in range(len(many))}
+    for i, j in brute(many, 0.5):
+        expected[i] += 1
+        expected[j] += 1
+    rows = similarity.link_counts(sets_frame(spark, many), 0.5).collect()
+    assert {r.id: r.n_links for r in rows} == expected
+    assert {r.id: r.class_id for r in rows} == {i: many.index(s) for i, s in enumerate(many)}
+
+
 def test_half_is_included(spark):
     assert got(similarity.exact_pairs(sets_frame(spark, [{"1", "2", "3"}, {"2", "3", "4"}]))) == {(0, 1): 0.5}
 
