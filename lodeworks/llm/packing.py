@@ -36,9 +36,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class ByteTokens:
-    """Ids of texts as little-endian 32-bit bytes; words are looked up in a bounded cache."""
-
-    CACHE = 200_000
+    """Ids of texts as little-endian 32-bit bytes. Special tokens in a text count as such."""
 
     def __init__(self, rank_file: str):
         import base64
@@ -48,33 +46,25 @@ class ByteTokens:
 
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.special = len(ranks)
         self.words_of = regex.compile(SPLIT).findall
-        self.merge = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.special = np.array([len(ranks)], "<u4").tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    def __missing(self, word: str) -> bytes:
-        if len(self.cache) >= self.CACHE:
-            self.cache.clear()
-        out = np.array(self.merge(word), "<u4").tobytes()
-        if len(word) <= 64:
-            self.cache[word] = out
-        return out
+        self.encoding = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={SPECIAL: self.special})
 
     def encode(self, text: str) -> bytes:
-        parts = []
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:  # runs of white space that are too long for the encoder's own split
+            return np.array(self.by_words(text), "<u4").tobytes()
+
+    def by_words(self, text: str) -> list[int]:
+        """The same ids, split here and merged word by word."""
+        out: list[int] = []
         for i, segment in enumerate(text.split(SPECIAL)):
             if i:
-                parts.append(self.special)
-            words = self.words_of(segment)
-            found = list(map(self.cache.get, words))
-            if None in found:
-                for at, ids in enumerate(found):
-                    if ids is None:
-                        word = words[at]
-                        found[at] = self.cache.get(word) or self.__missing(word)
-            parts += found
-        return b"".join(parts)
+                out.append(self.special)
+            for word in self.words_of(segment):
+                out += self.encoding._encode_single_piece(word)
+        return out
 
 
 def cut(n: int, window: int = WINDOW, unit: int = UNIT) -> list[tuple[int, int, int]]:

@@ -55,7 +55,13 @@ def test_pieces_hold_every_id_once(spark, library):
 def test_ids(library, text):
     tokens = packing.ByteTokens(RANKS)
     for _ in range(2):
-        assert np.frombuffer(tokens.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids == tokens.by_words(text)
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "x", "\n" * 1_100_000, "ab" * 200_000])
+def test_extreme_texts(library, text):
+    tokens = packing.ByteTokens(RANKS)
+    assert np.frombuffer(tokens.encode(text), "<u4").tolist() == tokens.by_words(text)
 
 
 def test_cut_covers():
