@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths of the tables that this process has stored and not removed.
+#: Paths that this process has handed out and not deleted.
 _kept: list[str] = []
 #: Rows and bytes up to which a counted table is broadcast. Larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -27,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has; clear() deletes what is written there."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _kept.append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
@@ -36,7 +39,6 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    _kept.append(path)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -56,7 +58,7 @@ def remove(stored_table: DataFrame) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all tables that this process has stored: for the end of a program, when every result has been written."""
+    """Deletes all that this process has stored: for the end of a program, when every result has been written."""
     for path in list(_kept):
         _delete(spark, path)
 
