@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import bounded, new_path, text_of
+from lodeworks.llm.common import bounded, new_path, remove, stored, text_of
 
 #: kind, version, pattern, group, least length; base rules first.
 RULES = (
@@ -98,11 +98,10 @@ class Ledger:
             blobs = blobs.withColumn("todo", wanted)
         rows = "blob binary, rules array<string>, found array<struct<rule:string,spans:array<struct<start:int,stop:int>>>>"
         result = _once_a_task(blobs).repartition("blob").mapInArrow(_scanner(rules), rows)
-        work = new_path(self.spark, "scan")
-        result.write.parquet(work)
-        done = self.spark.read.schema(rows).parquet(work)
+        done = stored(result, "scan")
         done.select("blob", "rules").write.mode("append").parquet(f"{self.path}/scanned")
         done.select("blob", F.explode("found").alias("f")).select("blob", "f.rule", "f.spans").write.mode("append").parquet(f"{self.path}/findings")
+        remove(done)
         self.fresh = False
         return docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("blob"))
 

@@ -214,7 +214,6 @@ def top_k(
         if not part.num_rows:
             continue
         one = _search_block(spark, index, part, seen, seen_rows, centres, most, width, dtype, k, annulus, rows_at_once)
-        one = stored(one, "hits")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], RESULT)
@@ -263,4 +262,7 @@ def _search_block(spark, index, part, seen, seen_rows, centres, most, width, dty
             columns = (q_rows[i], q_ids[i], vec_id[a : a + 100_000], score[a : a + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
 
-    return index.select("row", "vec_id", "q", "pivot", "dist").mapInArrow(kernel, "query_row long, query_id long, vec_id long, score long")
+    rows = index.select("row", "vec_id", "q", "pivot", "dist")
+    hits = stored(rows.mapInArrow(kernel, "query_row long, query_id long, vec_id long, score long"), "hits")
+    sent.unpersist()
+    return hits
