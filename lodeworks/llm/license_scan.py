@@ -7,6 +7,12 @@ bigrams are made. Bigrams meet the templates' by a broadcast of the templates, w
 the few bigrams that a unit shares with a template of like size; they are counted by document, and only counts are
 shuffled. No text is shuffled.
 
+Passages: a licence that no line and no whole text of a document matches is looked for in all runs of the text's words, over
+line ends and inside longer lines. A run is as good as its Dice, and the best run of a licence is one more unit. A match
+shares at least size * p / (200 - p) bigrams with its template (p: ``min_percent``), so documents with fewer of a template's
+bigrams are left out before any bigram is exploded; no text with a match is. A run that matches can be cut to begin and
+end with a template's bigram without losing Dice, so these runs alone are counted.
+
 Defined cases: a null or empty text has no units with words, so no match; units of fewer than two words match nothing; of equal Dice
 the smaller licence name is best; repeated rows have equal results and are counted apart from one another; a null
 doc_id stays null; an empty table gives an empty result; other columns play no part.
@@ -16,7 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import bounded, stored, text_of
@@ -89,9 +95,76 @@ def matches(docs: DataFrame, templates=TEMPLATES, min_percent: int = MIN_PERCENT
     return scored.where(200 * F.col("common") >= min_percent * F.col("total")).select("k1", "k2", "unit", "licence", "common", "total")
 
 
-def report(docs: DataFrame, templates=TEMPLATES, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """doc_id, n_units (matched units), licences (sorted, comma-joined), best_licence, best_dice of every document."""
-    hits = stored(matches(docs, templates, min_percent).withColumn("dice", F.round(2 * F.col("common") / F.col("total"), 6)), "licences")
+def passages(docs: DataFrame, found: DataFrame, templates=TEMPLATES, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """As matches(): the best run of words of every licence that the document (k1, k2) does not have in found; units are negative."""
+    spark = docs.sparkSession
+    known = spark.createDataFrame(template_rows(templates), "template int, licence string, size int, w1 string, w2 string, times int")
+    text = text_of(F.col("text"))
+    key = [F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), text, F.col("doc_id")).alias("k2")]
+    least = []
+    for i in range(len(templates)):
+        own = [r for r in template_rows(templates) if r[0] == i]
+        if own:
+            size = own[0][2]
+            needed = -(-size * min_percent // (200 - min_percent)) - (size - len(own))  # of its distinct bigrams
+            hashes = F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for _, _, _, a, b, _ in own])
+            least.append(F.struct(F.lit(i).alias("template"), F.lit(needed).alias("needed"), hashes.alias("hashes")))
+    every = F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in sorted({r[3:5] for r in template_rows(templates)})])
+
+    def bigrams(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b))
+
+    def possible(w: Column) -> Column:
+        # Within a lambda, so that the intersection is made once and not once a template.
+        each = F.transform(
+            F.array(F.array_intersect(bigrams(w), every)),
+            lambda p: F.filter(F.array(*least), lambda t: F.size(F.array_intersect(p, t["hashes"])) >= t["needed"]),
+        )
+        return F.transform(each[0], lambda t: t["template"])
+
+    worded = F.transform(F.array(text), lambda t: F.array_remove(F.split(F.lower(t), "[^a-z0-9]+"), ""))
+    rows = docs.select(*key, F.explode(F.transform(worded, lambda w: F.struct(w.alias("w"), possible(w).alias("may")))).alias("x"))
+    rows = rows.where((F.size("x.may") > 0) & (F.size("x.w") > 1))
+    size = F.size("x.w") - 1
+    both = F.arrays_zip(F.slice("x.w", 1, size).alias("a"), F.slice("x.w", 2, size).alias("b"))
+    pairs = rows.select("k1", "k2", F.col("x.may").alias("may"), F.posexplode(both).alias("at", "p"))
+    met = pairs.join(F.broadcast(known), (F.col("p.a") == F.col("w1")) & (F.col("p.b") == F.col("w2")) & F.array_contains("may", F.col("template")))
+    own = ["k1", "k2", "template", "licence", "size"]
+    # Equal rows have equal positions.
+    bag = met.select(*own, "at", "times", F.xxhash64("w1", "w2").alias("gram")).dropDuplicates(["k1", "k2", "template", "at"])
+    bag = bag.join(found.select("k1", "k2", "licence").distinct(), ["k1", "k2", "licence"], "left_anti")
+    # A run is at most longest bigrams long and begins where that many bigrams have enough of the template's; it ends in its
+    # first block of that length or in the next.
+    of, longest = Window.partitionBy("k1", "k2", "template").orderBy("at"), int((200 - min_percent) * max(r[2] for r in template_rows(templates)) / min_percent)
+    fits = F.col("at") - F.col("start") < F.floor((200 - min_percent) * F.col("size") / min_percent)
+    ahead = F.count(F.lit(1)).over(of.rangeBetween(0, longest - 1))
+    block = F.floor(F.col("at") / longest)
+    bag = stored(bag.withColumn("ahead", ahead).withColumn("block", block), "passages")
+    starts = bag.where((200 - min_percent) * F.col("ahead") >= min_percent * F.col("size")).select(
+        "k1", "k2", "template", F.col("at").alias("start"), F.explode(F.array("block", F.col("block") + 1)).alias("block")
+    )
+    run = ["k1", "k2", "template", "start"]
+    wide = starts.join(bag, ["k1", "k2", "template", "block"]).where((F.col("at") >= F.col("start")) & fits)
+    nth = F.row_number().over(Window.partitionBy(*run, "gram").orderBy("at"))
+    counted = wide.withColumn("shared", (nth <= F.col("times")).cast("long"))
+    counted = counted.withColumn("common", F.sum("shared").over(Window.partitionBy(*run).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    total = (F.col("at") - F.col("start") + 1 + F.col("size")).alias("total")
+    good = counted.select("k1", "k2", "licence", "common", total).where(200 * F.col("common") >= min_percent * F.col("total"))
+    order = F.struct((-2 * F.col("common") / F.col("total")).alias("d"), "common", "total")
+    best = good.groupBy("k1", "k2", "licence").agg(F.min(order).alias("best"))
+    names = sorted({name for name, _ in templates})
+    unit = F.lit(0) - F.array_position(F.array(*[F.lit(x) for x in names]), F.col("licence"))
+    return best.select("k1", "k2", unit.cast("int").alias("unit"), "licence", "best.common", "best.total")
+
+
+def report(docs: DataFrame, templates=TEMPLATES, min_percent: int = MIN_PERCENT, runs: bool = False) -> DataFrame:
+    """doc_id, n_units (matched units), licences (sorted, comma-joined), best_licence, best_dice of every document. runs: passages count too."""
+    found = matches(docs, templates, min_percent)
+    if runs:
+        found = stored(found, "units")
+        found = found.unionByName(passages(docs, found, templates, min_percent))
+    hits = stored(found.withColumn("dice", F.round(2 * F.col("common") / F.col("total"), 6)), "licences")
     each = hits.groupBy("k1", "k2").agg(
         F.count_distinct("unit").alias("n_units"),
         F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"),

@@ -39,7 +39,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.report(table(spark, sf_dir, "documents"))
+    return license_scan.report(table(spark, sf_dir, "documents"), runs=True)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
