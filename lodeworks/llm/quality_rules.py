@@ -80,7 +80,7 @@ def line_features(words: list[str], seen: bool, first: bool, last: bool) -> list
     symbols = len(SYMBOLS.findall(line)) / n
     bangs = line.count("!!") / n
     shouts = line.upper() == line and sum(len(w) > 1 and w.isupper() for w in words) > 0.5 * n
-    digits = DIGITS.findall(line[:400])
+    digits = DIGITS.findall(line)
     counts = Counter(words) if n > 3 else {}
     on = [0]
     if n < 4:
@@ -97,7 +97,7 @@ def line_features(words: list[str], seen: bool, first: bool, last: bool) -> list
         on.append(6)
     if bangs > 0.5:
         on.append(7)
-    if digits and sum(map(len, digits)) > 0.3 * min(len(line), 400):
+    if digits and sum(map(len, digits)) > 0.3 * len(line):
         on.append(8)
     if counts and max(counts.values()) > max(3, 0.2 * n):
         on.append(9)

@@ -86,3 +86,10 @@ def test_empty_table(spark):
     assert quality_rules.judge(empty(spark), quality_rules.prior_model()).count() == 0
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     assert quality_rules.train(empty(spark), labels) == quality_rules.prior_model()
+
+
+def test_digits_are_counted_over_the_whole_line():
+    at = quality_rules.FEATURES.index("digits")
+    prose, numbers = ["word"] * 100, ["0123456789"] * 300
+    assert at in quality_rules.line_features(prose + numbers, False, False, False)
+    assert at not in quality_rules.line_features(numbers[:50] + prose * 20, False, False, False)
