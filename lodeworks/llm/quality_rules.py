@@ -5,8 +5,9 @@ For the other documents, Viterbi decoding finds the most probable label sequence
 document stays if at least ``min_content`` of its words lie in content lines.
 
 The CRF is trained here, by gradient ascent on the regularised conditional log-likelihood (forward-backward), on at
-most ``max_documents`` labelled documents of each class of at most ``max_chars`` characters, the first by the hash of their id; a line's weak label is
-its document's quality label. Where a class has no labelled document, the prior weights in ``PRIOR`` decode.
+most ``max_documents`` documents of each class, the first by the hash of their id among the labelled documents of at most
+``max_chars`` characters (both are parameters of ``train`` that bound what the driver holds), with all their lines; a line's
+weak label is its document's quality label. Where a class has no labelled document, the prior weights in ``PRIOR`` decode.
 
 Defined cases: a null text has no words, so the document fails the hard rules; a null doc_id stays null; repeated
 rows are judged alike, each by itself; an empty table gives an empty result; extra columns are passed by
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 DIGITS = re.compile(r"[0-9]+")
+#: Lines, with padding, that training steps at once.
+CELLS = 1 << 18
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, content_share double"
@@ -198,74 +201,97 @@ def filter_documents(docs: DataFrame, model: dict, min_words: int = 50, max_repe
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_chars: int = 50_000) -> list[tuple[str, int]]:
-    """Texts and labels (1: boilerplate) of at most max_documents documents of each class; no text is longer than max_chars."""
+    """Texts and labels (1: boilerplate) of at most max_documents documents of each class, chosen among those of at most max_chars."""
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
         .where("y = z and crc32(cast(doc_id as string)) % 5 != 0").select("doc_id", "y")
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
     )
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])
     return [(r.text, 1 - r.y) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 400, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-3) -> dict:
-    """Fits the CRF on the driver, from a bounded sample (max_documents of each class)."""
-    return fit(training_sample(docs, labels, max_documents), rounds, rate, penalty)
+def train(
+    docs: DataFrame, labels: DataFrame, max_documents: int = 400, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-3, max_chars: int = 50_000
+) -> dict:
+    """Fits the CRF on the driver, from a bounded sample (max_documents of each class, among documents of at most max_chars)."""
+    return fit(training_sample(docs, labels, max_documents, max_chars), rounds, rate, penalty)
+
+
+def batches_of(sizes: list[int]) -> list[range]:
+    """Places in sorted sizes that are stepped at once: of like length or short, and of at most CELLS lines when padded."""
+    out, a = [], 0
+    for z in range(1, len(sizes) + 1):
+        if z == len(sizes) or sizes[z] > max(64, 2 * sizes[a]) or (z + 1 - a) * sizes[z] > CELLS:
+            out.append(range(a, z))
+            a = z
+    return out
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 150, rate: float = 0.5, penalty: float = 1e-3) -> dict:
-    """Regularised maximum likelihood by Adam steps. All sequences are stepped at once, padded to the longest."""
-    data = [(f, y) for f, y in ((text_lines(t)[2][:200], y) for t, y in sample) if f]
+    """Regularised maximum likelihood by Adam steps over all lines. Sequences of like length are stepped at once, padded to the longest."""
+    # A line is the bits of its features; lines with the same features share a row of x.
+    data = [(np.array([sum(1 << i for i in on) for on in text_lines(t)[2]], np.uint32), y) for t, y in sample]
+    data = sorted(((bits, y) for bits, y in data if len(bits)), key=lambda d: len(d[0]))
     if {y for _, y in data} != {0, 1}:
         return prior_model()
-    n, length, k = len(data), max(len(f) for f, _ in data), len(FEATURES)
-    x = np.zeros((n, length, k))
-    size = np.array([len(f) for f, _ in data])
-    y = np.array([label for _, label in data])
-    for i, (features, _) in enumerate(data):
-        for j, on in enumerate(features):
-            x[i, j, on] = 1.0
-    alive = np.arange(length)[None, :] < size[:, None]
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both classes weigh the same
+    k = len(FEATURES)
+    kinds, kind_of = np.unique(np.concatenate([bits for bits, _ in data]), return_inverse=True)
+    x = (kinds[:, None] >> np.arange(k, dtype=np.uint32) & 1).astype(np.float64)
+    sizes = np.array([len(bits) for bits, _ in data])
+    labels = np.array([label for _, label in data])
+    weights = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))  # both classes weigh the same
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    parts = []
+    for part in batches_of(sizes.tolist()):
+        size, y, each = sizes[part], labels[part], weights[part]
+        alive = np.arange(size.max())[None, :] < size[:, None]
+        kind = np.zeros(alive.shape, np.int32)
+        kind[alive] = kind_of[begins[part.start] : begins[part.stop]]
+        parts.append((size, y, each, alive, kind))
     start = prior_model()
     w = np.concatenate([np.array(start["state"]), np.array(start["move"]).ravel()])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    rows = np.arange(n)
 
     def log_add(a, b):
         return np.logaddexp(a, b)
 
     for step in range(1, rounds + 1):
         state, move = w[:k], w[k:].reshape(2, 2)
-        score = np.zeros((n, length, 2))
-        score[:, :, 1] = x @ state
-        forward, backward = np.zeros_like(score), np.zeros_like(score)
-        forward[:, 0] = score[:, 0]
-        for t in range(1, length):
-            for b in (0, 1):
-                forward[:, t, b] = score[:, t, b] + log_add(forward[:, t - 1, 0] + move[0, b], forward[:, t - 1, 1] + move[1, b])
-        for t in range(length - 2, -1, -1):
-            inside = (t + 1 < size)[:, None]
-            for a in (0, 1):
-                ahead = score[:, t + 1] + backward[:, t + 1] + move[a]
-                backward[:, t, a] = np.where(inside[:, 0], log_add(ahead[:, 0], ahead[:, 1]), 0.0)
-        total = log_add(forward[rows, size - 1, 0], forward[rows, size - 1, 1])
-        p1 = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - total[:, None])) * alive
-        scale = (each / size)[:, None]
-        grad = np.zeros_like(w)
-        grad[:k] = (((y[:, None] * alive - p1) * scale)[:, :, None] * x).sum((0, 1))
-        if length > 1:
-            both = alive[:, 1:]
-            for a in (0, 1):
+        grad, of_kind = np.zeros_like(w), np.zeros(len(kinds))
+        for size, y, each, alive, kind in parts:
+            n, length = alive.shape
+            score = np.zeros((n, length, 2))
+            score[:, :, 1] = (x @ state)[kind]
+            forward, backward = np.zeros_like(score), np.zeros_like(score)
+            forward[:, 0] = score[:, 0]
+            for t in range(1, length):
                 for b in (0, 1):
-                    joint = forward[:, :-1, a] + move[a, b] + score[:, 1:, b] + backward[:, 1:, b] - total[:, None]
-                    expected = np.exp(np.minimum(0, joint)) * both
-                    grad[k + 2 * a + b] = (((a == b) * (y == a)[:, None] * both - expected) * scale).sum()
+                    forward[:, t, b] = score[:, t, b] + log_add(forward[:, t - 1, 0] + move[0, b], forward[:, t - 1, 1] + move[1, b])
+            for t in range(length - 2, -1, -1):
+                inside = (t + 1 < size)[:, None]
+                for a in (0, 1):
+                    ahead = score[:, t + 1] + backward[:, t + 1] + move[a]
+                    backward[:, t, a] = np.where(inside[:, 0], log_add(ahead[:, 0], ahead[:, 1]), 0.0)
+            rows = np.arange(n)
+            total = log_add(forward[rows, size - 1, 0], forward[rows, size - 1, 1])
+            p1 = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - total[:, None])) * alive
+            scale = (each / size)[:, None]
+            of_kind += np.bincount(kind.ravel(), ((y[:, None] * alive - p1) * scale).ravel(), len(kinds))
+            if length > 1:
+                both = alive[:, 1:]
+                for a in (0, 1):
+                    for b in (0, 1):
+                        joint = forward[:, :-1, a] + move[a, b] + score[:, 1:, b] + backward[:, 1:, b] - total[:, None]
+                        expected = np.exp(np.minimum(0, joint)) * both
+                        grad[k + 2 * a + b] += (((a == b) * (y == a)[:, None] * both - expected) * scale).sum()
+        grad[:k] = of_kind @ x
         grad -= penalty * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) / math.sqrt(step)

@@ -93,3 +93,21 @@ def test_digits_are_counted_over_the_whole_line():
     prose, numbers = ["word"] * 100, ["0123456789"] * 300
     assert at in quality_rules.line_features(prose + numbers, False, False, False)
     assert at not in quality_rules.line_features(numbers[:50] + prose * 20, False, False, False)
+
+
+def test_training_reads_all_lines(monkeypatch):
+    good, bad = "these are words of a plain sentence.\n", "## $$ || ##\n"
+    short = [(good * 5, 0), (bad * 5, 1), (good + bad * 4, 1), (good * 70, 0), (bad * 300, 1)]
+    one, other = (quality_rules.fit([*short, (good * 200 + tail * 300, 0)]) for tail in (good, bad))
+    assert one["state"] != pytest.approx(other["state"], abs=1e-3)
+    monkeypatch.setattr(quality_rules, "CELLS", 400)
+    split = quality_rules.fit([*short, (good * 200 + good * 300, 0)])
+    assert split["state"] == pytest.approx(one["state"], abs=1e-6) and sum(split["move"], []) == pytest.approx(sum(one["move"], []), abs=1e-6)
+
+
+def test_sample_is_chosen_within_the_bound(spark):
+    rows = [(i, "a word " * (1000 if i % 3 else 10), None, None, None) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for most, bound in ((2, 100), (4, 100_000)):
+        sample = quality_rules.training_sample(documents(spark, rows=rows), labels, most, bound)
+        assert sorted(y for _, y in sample) == [0] * most + [1] * most and all(len(t) <= bound for t, _ in sample)
