@@ -14,7 +14,8 @@ nearest first, raises the query's k-th best, and stops where the bound shows tha
 report at most k rows a query; those are ranked at the end. No row is left unsearched but by the bound.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded
-with zeros; quantised components are held within +-2**28, so scores fit a long; each row is a query or candidate of its
+with zeros; nothing is clipped: a vector whose quantised components exceed an int or whose squared norm reaches 2**62, so that
+scores might not fit a long, is refused with an error; each row is a query or candidate of its
 own, also where ids or rows repeat; a candidate without id comes after all ids of its score; rows without id are no
 queries; an empty table gives an empty result; other columns play no part.
 """
@@ -32,7 +33,9 @@ from pyspark.sql.window import Window
 from lodeworks.llm.common import stored
 
 SCALE = 64
-LIMIT = 1 << 28
+#: Largest quantised component, and the squared norm below which every score is exact as a long.
+LIMIT = (1 << 31) - 1
+MOST = 1 << 62
 NO_ID = (1 << 63) - 1
 #: Bounds of memory: queries that meet an annulus at once, and bytes of a query block's or the sample's vectors.
 QUERIES_AT_ONCE = 4096
@@ -53,7 +56,10 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
                 if v.is_valid and not v.values.null_count:
                     x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
                     if np.isfinite(x).all():
-                        q = np.clip(np.floor(scale * x), -LIMIT, LIMIT).astype(np.int64)
+                        floored = np.floor(scale * x)
+                        if np.abs(floored).max(initial=0) > LIMIT or floored @ floored > 0.999 * MOST:
+                            raise ValueError(f"vector {vec_id} is too large for exact scores at scale {scale}")
+                        q = floored.astype(np.int64)
                         ids.append(vec_id)
                         rows.append(at)
                         qs.append(q.astype(np.int32))
@@ -145,13 +151,14 @@ def search_rows(
     ends = [*begins[1:], len(pivot)]
     inner, outer = dist[begins], dist[np.array(ends) - 1]
     away = reach[:, pivot[begins]]
-    bound = np.maximum(0, np.maximum(away - outer, inner - away) - 1e-6 * (1 + away))
+    # Distances near zero are off by the rounding of squared norms.
+    bound = np.maximum(0, np.maximum(away - outer, inner - away) - 1e-6 * (1 + away) - 1e-7 * np.sqrt(slack)[:, None])
     order = np.argsort(bound, 1, kind="stable")
     open_ = np.arange(len(queries))
     for step in range(len(begins)):
         at = order[open_, step]
         # Nothing in this annulus, nor in any later one, can reach the floor.
-        going = bound[open_, at] ** 2 <= slack[open_] - 2.0 * best.floor[open_] + 1e-3
+        going = bound[open_, at] ** 2 <= slack[open_] * (1 + 1e-14) - 2.0 * best.floor[open_] + 1e-3
         open_, at = open_[going], at[going]
         if not len(open_):
             return

@@ -108,3 +108,17 @@ def test_bounds_stop_the_search():
         own = np.sort(np.delete(x @ x[i], i))[::-1][:5]
         assert score[query == i].tolist() == own.tolist()
     assert sum(visited) < 20 * 4000 / 2
+
+
+def test_large_components_are_exact(spark):
+    """Beyond 2**28 after quantising, and scores beyond 2**53."""
+    for seed, size in ((6, 5e6), (7, 1e6)):
+        rows = [(i, [x * size for x in v], c) for i, v, c in rows_of(seed, 200, spread=0.1)]
+        rows += [(1000 + k, [size * 1.5] * 6, 0) for k in range(30)]
+        same(spark, rows, k=7, pivots=5, sample_rows=40, annulus=8)
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    df = spark.createDataFrame([(20, [1e12, 1.0], 0), (21, [1.0, 1.0], 0)], SCHEMA)
+    with pytest.raises(Exception, match="too large for exact scores"):
+        topk.top_k(df, is_query(), k=1).collect()
