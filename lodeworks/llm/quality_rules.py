@@ -5,13 +5,15 @@ For the other documents, Viterbi decoding finds the most probable label sequence
 document stays if at least ``min_content`` of its words lie in content lines.
 
 The CRF is trained here, by gradient ascent on the regularised conditional log-likelihood (forward-backward), on at
-most ``max_documents`` documents of each class, the first by the hash of their id among the labelled documents of at most
-``max_chars`` characters (both are parameters of ``train`` that bound what the driver holds), with all their lines; a line's
-weak label is its document's quality label. Where a class has no labelled document, the prior weights in ``PRIOR`` decode.
+most ``max_documents`` labelled documents of each class (the first by the hash of their id), whole and with all their lines.
+Lines get weak labels of their own: in a bad document all are boilerplate; in a good one those whose key (op9's: trimmed, A-Z
+lower-cased) at least ``recurs`` different texts of the whole corpus hold, and the others are content. Where such lines have
+most of a good document's words, it is a copy among others, and all its lines are content. The driver holds a few numbers for
+each line of these documents, and no text. Where a class has no labelled document, the prior weights in ``PRIOR`` decode.
 
 Defined cases: a null text has no words, so the document fails the hard rules; a null doc_id stays null; repeated
-rows are judged alike, each by itself; an empty table gives an empty result; extra columns are passed by
-``filter_documents`` and ignored by ``judge``.
+rows are judged alike, each by itself; of different texts with one id, that with the smallest hash is learnt from; an empty
+table gives an empty result; extra columns are passed by ``filter_documents`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -22,13 +24,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.common import SPACE, ascii_lower, bounded, remove, stored
+
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 DIGITS = re.compile(r"[0-9]+")
+ENDS = re.compile(r"[.!?] ")
 #: Lines, with padding, that training steps at once.
 CELLS = 1 << 18
+#: Training cuts longer chains here, so that a step's length is bounded; every line counts.
+CHAIN = 256
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, content_share double"
@@ -36,6 +43,7 @@ SCHEMA = (
 FEATURES = (
     "bias", "few_words", "many_words", "symbols_some", "symbols_many", "shouting", "bangs_some", "bangs_many",
     "digits", "one_word_often", "few_distinct", "separators", "ends_sentence", "seen_before", "first", "last",
+    "short", "several_sentences",
 )
 #: Weights that stand in until labels are at hand: content unless a line is mostly symbols, shouting or repetition.
 PRIOR = {
@@ -116,6 +124,10 @@ def line_features(words: list[str], seen: bool, first: bool, last: bool) -> list
         on.append(14)
     if last:
         on.append(15)
+    if 4 <= n < 16:
+        on.append(16)
+    if ENDS.search(line):
+        on.append(17)
     return on
 
 
@@ -200,9 +212,11 @@ def filter_documents(docs: DataFrame, model: dict, min_words: int = 50, max_repe
     return docs.mapInArrow(kernel, docs.schema)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_chars: int = 50_000) -> list[tuple[str, int]]:
-    """Texts and labels (1: boilerplate) of at most max_documents documents of each class, chosen among those of at most max_chars."""
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
+def chosen_documents(docs: DataFrame, labels: DataFrame, max_documents: int, max_chars: int | None = None) -> DataFrame:
+    """doc_id, text, y (1: bad) of at most max_documents documents of each class outside the held-out fold; max_chars: among texts of at most so many."""
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    if max_chars is not None:
+        texts = texts.where(F.char_length("text") <= max_chars)
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
@@ -213,15 +227,62 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])
-    return [(r.text, 1 - r.y) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return found.select("doc_id", "one.text", (1 - F.col("y")).alias("y"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_chars: int | None = None) -> list[tuple[str, int]]:
+    """Texts and labels (1: bad) of chosen_documents, by id."""
+    found = chosen_documents(docs, labels, max_documents, max_chars)
+    return [(r.text, r.y) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
+
+
+def line_keys(text: Column) -> Column:
+    """A hash for each line that has words."""
+    keys = F.transform(F.split(ascii_lower(text), "\n"), lambda line: F.btrim(line, F.lit(SPACE)))
+    return F.transform(F.filter(keys, lambda key: key != ""), lambda key: F.xxhash64(key))
+
+
+def bits_of(features: list[list[int]]) -> np.ndarray:
+    """A line's features as the bits of one number."""
+    return np.array([sum(1 << i for i in on) for on in features], np.int32)
+
+
+def training_lines(docs: DataFrame, labels: DataFrame, max_documents: int, recurs: int = 10, max_chars: int | None = None) -> list[tuple]:
+    """(features, weak labels, y) of each chosen document: one number a line."""
+
+    def kernel(batches):
+        for batch in batches:
+            made = [text_lines(t.as_py()) for t in batch.column(2)]
+            bits, sizes = ([f(m) for m in made] for f in (lambda m: bits_of(m[2]), lambda m: [len(w) for w in m[1]]))
+            arrays = [batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, pa.list_(pa.int32())) for c in (bits, sizes))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "y", "keys", "bits", "sizes"])
+
+    rows = chosen_documents(docs, labels, max_documents, max_chars).select("doc_id", "y", "text", line_keys(F.col("text")).alias("keys"))
+    lines = stored(rows.mapInArrow(kernel, "doc_id long, y int, keys array<long>, bits array<int>, sizes array<int>"), "lines")
+    wanted = stored(lines.where("y = 0").select(F.explode("keys").alias("key")).distinct(), "keys")
+    every = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(line_keys(F.col("text")))).alias("key"))
+    often = every.join(bounded(wanted), "key", "left_semi").groupBy("key").agg(F.count_distinct("t").alias("n")).where(F.col("n") >= recurs)
+    common = np.sort(often.select("key").toArrow().column("key").to_numpy())
+    out = []
+    for r in lines.orderBy("doc_id").select("y", "keys", "bits", "sizes").toArrow().to_pylist():
+        size = np.array(r["sizes"], np.int64)
+        label = np.full(len(size), r["y"])
+        if not r["y"]:
+            again = np.isin(np.array(r["keys"], np.int64), common)
+            label = again.astype(int) if 2 * size[again].sum() <= size.sum() else label
+        out.append((np.array(r["bits"], np.int32), label, r["y"]))
+    remove(lines)
+    remove(wanted)
+    return out
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_documents: int = 400, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-3, max_chars: int = 50_000
-) -> dict:
-    """Fits the CRF on the driver, from a bounded sample (max_documents of each class, among documents of at most max_chars)."""
-    return fit(training_sample(docs, labels, max_documents, max_chars), rounds, rate, penalty)
+    docs: DataFrame, labels: DataFrame, max_documents: int = 400, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-3,
+    max_chars: int | None = None, recurs: int = 10,
+) -> dict:
+    """Fits the CRF on the driver, from a bounded sample (max_documents of each class). Corpus counts cover all documents."""
+    return fit_lines(training_lines(docs, labels, max_documents, recurs, max_chars), rounds, rate, penalty)
 
 
 def batches_of(sizes: list[int]) -> list[range]:
@@ -235,64 +296,87 @@ def batches_of(sizes: list[int]) -> list[range]:
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 150, rate: float = 0.5, penalty: float = 1e-3) -> dict:
-    """Regularised maximum likelihood by Adam steps over all lines. Sequences of like length are stepped at once, padded to the longest."""
-    # A line is the bits of its features; lines with the same features share a row of x.
-    data = [(np.array([sum(1 << i for i in on) for on in text_lines(t)[2]], np.uint32), y) for t, y in sample]
-    data = sorted(((bits, y) for bits, y in data if len(bits)), key=lambda d: len(d[0]))
-    if {y for _, y in data} != {0, 1}:
-        return prior_model()
-    k = len(FEATURES)
-    kinds, kind_of = np.unique(np.concatenate([bits for bits, _ in data]), return_inverse=True)
-    x = (kinds[:, None] >> np.arange(k, dtype=np.uint32) & 1).astype(np.float64)
-    sizes = np.array([len(bits) for bits, _ in data])
-    labels = np.array([label for _, label in data])
-    weights = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))  # both classes weigh the same
-    begins = np.concatenate(([0], np.cumsum(sizes)))
+    """fit_lines on texts all of whose lines have their document's label."""
+    data = [(bits_of(text_lines(t)[2]), y) for t, y in sample]
+    return fit_lines([(bits, np.full(len(bits), y), y) for bits, y in data], rounds, rate, penalty)
+
+
+def training_parts(data: list[tuple]) -> tuple[np.ndarray, list[tuple]]:
+    """Features of each kind of line, and (size, label, scale, alive, kind) of chains that are stepped at once, padded to the longest.
+
+    data: (features, labels, y) of documents with lines. Both classes weigh the same, and so do a class's documents."""
+    kinds, kind_of = np.unique(np.concatenate([bits for bits, _, _ in data]), return_inverse=True)
+    x = (kinds[:, None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
+    n_of = Counter(y for _, _, y in data)
+    begin, chains = 0, []
+    for bits, label, y in data:
+        n = len(bits)
+        for at in range(0, n, CHAIN):
+            z = min(n, at + CHAIN)
+            chains.append((z - at, begin + at, 0.5 / n_of[y] / n))
+        begin += n
+    labels = np.concatenate([label for _, label, _ in data])
+    chains.sort()
+    sizes, begins, scales = (np.array(c) for c in zip(*chains))
     parts = []
     for part in batches_of(sizes.tolist()):
-        size, y, each = sizes[part], labels[part], weights[part]
-        alive = np.arange(size.max())[None, :] < size[:, None]
-        kind = np.zeros(alive.shape, np.int32)
-        kind[alive] = kind_of[begins[part.start] : begins[part.stop]]
-        parts.append((size, y, each, alive, kind))
+        size = sizes[part]
+        place = np.arange(size.max())[None, :]
+        alive = place < size[:, None]
+        at = np.where(alive, begins[part][:, None] + place, 0)
+        parts.append((size, np.where(alive, labels[at], 0), scales[part], alive, np.where(alive, kind_of[at], 0)))
+    return x, parts
+
+
+def objective(w: np.ndarray, x: np.ndarray, parts: list[tuple]) -> tuple[float, np.ndarray]:
+    """Weighted conditional log-likelihood of the labels, and its gradient, by forward-backward."""
+    k = x.shape[1]
+    state, move = w[:k], w[k:].reshape(2, 2)
+    value, grad, of_kind = 0.0, np.zeros_like(w), np.zeros(len(x))
+    for size, label, scale, alive, kind in parts:
+        n, length = alive.shape
+        score = np.zeros((n, length, 2))
+        score[:, :, 1] = (x @ state)[kind]
+        forward, backward = np.zeros_like(score), np.zeros_like(score)
+        forward[:, 0] = score[:, 0]
+        for t in range(1, length):
+            for b in (0, 1):
+                forward[:, t, b] = score[:, t, b] + np.logaddexp(forward[:, t - 1, 0] + move[0, b], forward[:, t - 1, 1] + move[1, b])
+        for t in range(length - 2, -1, -1):
+            for a in (0, 1):
+                ahead = score[:, t + 1] + backward[:, t + 1] + move[a]
+                backward[:, t, a] = np.where(t + 1 < size, np.logaddexp(ahead[:, 0], ahead[:, 1]), 0.0)
+        rows = np.arange(n)
+        total = np.logaddexp(forward[rows, size - 1, 0], forward[rows, size - 1, 1])
+        p1 = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - total[:, None])) * alive
+        own = (score[:, :, 1] * label * alive).sum(1)
+        of_kind += np.bincount(kind.ravel(), ((label * alive - p1) * scale[:, None]).ravel(), len(x))
+        if length > 1:
+            both = alive[:, 1:]
+            for a in (0, 1):
+                for b in (0, 1):
+                    joint = forward[:, :-1, a] + move[a, b] + score[:, 1:, b] + backward[:, 1:, b] - total[:, None]
+                    expected = np.exp(np.minimum(0, joint)) * both
+                    seen = (label[:, :-1] == a) & (label[:, 1:] == b) & both
+                    own += move[a, b] * seen.sum(1)
+                    grad[k + 2 * a + b] += ((seen - expected) * scale[:, None]).sum()
+        value += float((scale * (own - total)).sum())
+    grad[:k] = of_kind @ x
+    return value, grad
+
+
+def fit_lines(data: list[tuple], rounds: int = 150, rate: float = 0.5, penalty: float = 1e-3) -> dict:
+    """Regularised maximum likelihood by Adam steps over all lines. data: (features, labels, y) of each document."""
+    data = [d for d in data if len(d[0])]
+    if {y for _, _, y in data} != {0, 1}:
+        return prior_model()
+    x, parts = training_parts(data)
     start = prior_model()
     w = np.concatenate([np.array(start["state"]), np.array(start["move"]).ravel()])
     m, v = np.zeros_like(w), np.zeros_like(w)
-
-    def log_add(a, b):
-        return np.logaddexp(a, b)
-
     for step in range(1, rounds + 1):
-        state, move = w[:k], w[k:].reshape(2, 2)
-        grad, of_kind = np.zeros_like(w), np.zeros(len(kinds))
-        for size, y, each, alive, kind in parts:
-            n, length = alive.shape
-            score = np.zeros((n, length, 2))
-            score[:, :, 1] = (x @ state)[kind]
-            forward, backward = np.zeros_like(score), np.zeros_like(score)
-            forward[:, 0] = score[:, 0]
-            for t in range(1, length):
-                for b in (0, 1):
-                    forward[:, t, b] = score[:, t, b] + log_add(forward[:, t - 1, 0] + move[0, b], forward[:, t - 1, 1] + move[1, b])
-            for t in range(length - 2, -1, -1):
-                inside = (t + 1 < size)[:, None]
-                for a in (0, 1):
-                    ahead = score[:, t + 1] + backward[:, t + 1] + move[a]
-                    backward[:, t, a] = np.where(inside[:, 0], log_add(ahead[:, 0], ahead[:, 1]), 0.0)
-            rows = np.arange(n)
-            total = log_add(forward[rows, size - 1, 0], forward[rows, size - 1, 1])
-            p1 = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - total[:, None])) * alive
-            scale = (each / size)[:, None]
-            of_kind += np.bincount(kind.ravel(), ((y[:, None] * alive - p1) * scale).ravel(), len(kinds))
-            if length > 1:
-                both = alive[:, 1:]
-                for a in (0, 1):
-                    for b in (0, 1):
-                        joint = forward[:, :-1, a] + move[a, b] + score[:, 1:, b] + backward[:, 1:, b] - total[:, None]
-                        expected = np.exp(np.minimum(0, joint)) * both
-                        grad[k + 2 * a + b] += (((a == b) * (y == a)[:, None] * both - expected) * scale).sum()
-        grad[:k] = of_kind @ x
-        grad -= penalty * w
+        grad = objective(w, x, parts)[1] - penalty * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) / math.sqrt(step)
+    k = len(FEATURES)
     return {"state": [float(z) for z in w[:k]], "move": w[k:].reshape(2, 2).tolist()}

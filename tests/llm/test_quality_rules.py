@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lodeworks.llm import quality_rules
@@ -111,3 +113,89 @@ def test_sample_is_chosen_within_the_bound(spark):
     for most, bound in ((2, 100), (4, 100_000)):
         sample = quality_rules.training_sample(documents(spark, rows=rows), labels, most, bound)
         assert sorted(y for _, y in sample) == [0] * most + [1] * most and all(len(t) <= bound for t, _ in sample)
+
+
+def chains(seed, documents=6, longest=5):
+    rng = random.Random(seed)
+    out = []
+    for i in range(documents):
+        n = rng.randrange(1, longest + 1)
+        features = [[0, *rng.sample(range(1, len(quality_rules.FEATURES)), 3)] for _ in range(n)]
+        out.append((features, [rng.randrange(2) for _ in range(n)], i % 2))
+    return out
+
+
+def test_objective_equals_enumeration():
+    """Log of the labelled path's share of all paths, each document by its weight."""
+    rng = np.random.default_rng(3)
+    docs = chains(3)
+    w = rng.normal(0, 1, len(quality_rules.FEATURES) + 4)
+    state, move = w[:-4], w[-4:].reshape(2, 2)
+
+    def score(features, labels):
+        return sum(sum(state[k] for k in f) for f, y in zip(features, labels) if y) + sum(move[a][b] for a, b in zip(labels, labels[1:]))
+
+    expected = 0.0
+    for features, labels, y in docs:
+        n = len(features)
+        paths = [score(features, [(code >> i) & 1 for i in range(n)]) for code in range(2**n)]
+        share = score(features, labels) - math.log(sum(map(math.exp, paths)))
+        expected += share * 0.5 / sum(d[2] == y for d in docs) / n
+    x, parts = quality_rules.training_parts([(quality_rules.bits_of(f), np.array(labels), y) for f, labels, y in docs])
+    assert quality_rules.objective(w, x, parts)[0] == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("chain", [3, 256])
+def test_gradient_equals_differences(monkeypatch, chain):
+    monkeypatch.setattr(quality_rules, "CHAIN", chain)
+    x, parts = quality_rules.training_parts([(quality_rules.bits_of(f), np.array(labels), y) for f, labels, y in chains(4, 8, 9)])
+    w = np.random.default_rng(5).normal(0, 1, len(quality_rules.FEATURES) + 4)
+    grad = quality_rules.objective(w, x, parts)[1]
+    for i in range(len(w)):
+        up, down = w.copy(), w.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert grad[i] == pytest.approx((quality_rules.objective(up, x, parts)[0] - quality_rules.objective(down, x, parts)[0]) / 2e-5, abs=1e-7)
+
+
+def test_recurring_lines_are_boilerplate_to_learn_from(spark):
+    """In texts that differ; copies of one text do not make its lines boilerplate, nor do lines that are most of a text."""
+    menu, prose = "Home | About", "these are plain words of a sentence."
+    rows = [(i, f"{menu}\n{prose} {i} {prose}\n  HOME | about ", None, None, None) for i in range(12)]
+    rows += [(100 + i, "a copied line of words\nand another one", None, None, None) for i in range(20)]
+    rows += [(200 + i, f"{menu}\n{menu}\n{i}", None, None, None) for i in range(12)]
+    rows += [(300, "## $$\n\n%% ##", None, None, None), (301, None, None, None, None)]
+    labels = spark.createDataFrame([(r[0], int(r[0] != 300), 0) for r in rows], "doc_id long, quality int, toxic int")
+    fold = {r.doc_id for r in labels.where("crc32(cast(doc_id as string)) % 5 != 0").collect()}
+    found = quality_rules.training_lines(documents(spark, rows=rows), labels, 100)
+    expected = []
+    for i, text, *_ in rows:
+        if i in fold and text is not None:
+            expected.append([1, 0, 1] if i < 100 else [0, 0] if i < 200 else [0, 0, 0] if i < 300 else [1, 1])
+    assert [label.tolist() for _, label, _ in found] == expected
+    assert [[f.tolist(), y] for f, _, y in found] == [
+        [quality_rules.bits_of(quality_rules.text_lines(t)[2]).tolist(), int(i == 300)] for i, t, *_ in rows if i in fold and t is not None
+    ]
+
+
+def test_menu_lines_around_good_prose(spark):
+    """Trained on the test tables, the labeller marks both kinds of lines in one document, and the document stays."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.train(docs, labels)
+    prose = next(r.text for r in docs.join(labels.where("quality = 1"), "doc_id").where("n_chars > 1500 and lang = 'en'").orderBy("doc_id").collect())
+    lines = ["Home | About", "Log in | Help", "Menu | Search", *(x for x in prose.split("\n") if len(x.split()) > 30), "Terms | Privacy", "Site | Map", "Top | Back"]
+    labels_of = quality_rules.viterbi(quality_rules.text_lines("\n".join(lines))[2], model["state"], model["move"])
+    assert labels_of[:3] == [1, 1, 1] == labels_of[-3:] and not any(labels_of[3:-3]) and len(labels_of) > 6
+    assert quality_rules.judge_text("\n".join(lines), model, 50, 50, 0.5)[6]
+
+
+def test_different_texts_of_one_id_are_chosen_from_by_hash(spark):
+    rows = [(7, f"text {i}", None, None, None) for i in range(6)]
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    found = {quality_rules.training_sample(documents(spark, rows=order), labels, 5)[0][0] for order in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(found) == 1
+
+
+def test_judge_takes_clashing_columns(spark):
+    model = quality_rules.prior_model()
+    assert key_rows(quality_rules.judge(documents(spark, clashing=True), model).collect()) == key_rows(quality_rules.judge(documents(spark), model).collect())
