@@ -45,7 +45,8 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes what is under a path, if anything is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     if path in _kept:
@@ -54,13 +55,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def remove(stored_table: DataFrame) -> None:
     """Deletes a table made by stored() that nothing reads any more."""
-    _delete(stored_table.sparkSession, stored_table.stored_at)
+    remove_path(stored_table.sparkSession, stored_table.stored_at)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that this process has stored: for the end of a program, when every result has been written."""
     for path in list(_kept):
-        _delete(spark, path)
+        remove_path(spark, path)
 
 
 def bounded(df: DataFrame, text_columns: tuple[str, ...] = ()) -> DataFrame:
