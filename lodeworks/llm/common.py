@@ -10,9 +10,9 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeworks.storage import bounded, new_path, remove, spread_table, stored, table
+from lodeworks.storage import bounded, new_path, remove, remove_path, spread_table, stored, table
 
-__all__ = ["bounded", "new_path", "remove", "spread_table", "stored", "table"]
+__all__ = ["bounded", "new_path", "remove", "remove_path", "spread_table", "stored", "table"]
 
 #: White space of the word and line rules: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"

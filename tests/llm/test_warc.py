@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,63 @@ def test_index_is_in_order_and_points_to_records(spark):
         assert warc.parsed(raw)["page_id"] == r.page_id and warc.parsed(raw)["url"] == (r.url)
 
 
+@pytest.mark.parametrize("fan_in", [2, 3])
+def test_more_runs_than_the_fan_in(spark, fan_in):
+    """Several passes over runs of few rows: the same rows, in global order, by ranges."""
+    pages = spark.createDataFrame(odd_pages() * 3, SCHEMA).repartition(5)
+    rows = sorted(warc.capture_index(pages, fan_in=fan_in, run_rows=7, block_rows=3, range_rows=40, max_bytes=2000).collect(), key=lambda r: (r.part, r.seq))
+    keys = [warc.key_of(tuple(r)) for r in rows]
+    assert keys == sorted(keys) and len({r.part for r in rows}) > 3 and len({r.file for r in rows}) > 5
+    found = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows]
+    assert key_rows(found) == key_rows(plain(odd_pages() * 3, 0))
+
+
+def test_a_merge_holds_one_block_a_run(tmp_path):
+    rng = random.Random(4)
+    store, root = warc.opened(str(tmp_path))
+    blocks, rows = {}, []
+    for run in range(9):
+        mine = sorted(((f"k{rng.randrange(20)}", "t", rng.randrange(50), None, "d", 0, "response", None, f"f{run}", i, 1) for i in range(rng.randrange(1, 90))), key=warc.key_of)
+        out = warc.SegmentWriter(store, root, str(run), 0, 5)
+        for row in mine:
+            out.add(row)
+        index = out.close()
+        assert [b["n"] for b in index] == [min(5, len(mine) - 5 * i) for i in range(len(index))]
+        blocks[str(run)] = [(b["file"], b["block"]) for b in index]
+        rows += mine
+    rows.sort(key=warc.key_of)
+    low, high = warc.key_of(rows[40]), warc.key_of(rows[-50])
+    for a, z, part in ((None, None, rows), (low, high, rows[40:-50]), (None, low, rows[:40]), (high, None, rows[-50:])):
+        merge = warc.RangeMerge(warc.block_reader(store, root), blocks, a, z)
+        assert list(merge) == part and merge.most <= 9 * 5 and merge.held == 0
+
+
+def test_revisits_refer_to_records_that_exist(spark):
+    folder = new_path(spark, "test-warc")
+    pages = spark.createDataFrame(odd_pages(), SCHEMA).repartition(4)
+    names = [r.file for r in warc.write_archives(pages, folder).collect()]
+    store, root = warc.opened(folder)
+    responses, wanted = Counter(), []
+    for name in names:
+        with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+            for _, _, raw in warc.members(stream):
+                head = dict(line.split(": ", 1) for line in raw.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:] if ": " in line)
+                if head["WARC-Type"] == "response":
+                    responses[head["WARC-Record-ID"]] += 1
+                else:
+                    wanted.append(head["WARC-Refers-To"])
+    assert wanted and set(wanted) <= set(responses)
+    # Rows equal in all columns alone share an id.
+    equal = Counter((i, u, h or "") for i, u, h in odd_pages())
+    assert sum(responses.values()) - len(responses) <= sum(n - 1 for n in equal.values())
+
+
+def test_archives_are_bounded(spark):
+    pages = spark.createDataFrame([(i, "u", "".join(random.Random(i).choices("abcdefgh", k=3000))) for i in range(60)], SCHEMA).coalesce(1)
+    manifest = warc.write_archives(pages, new_path(spark, "test-warc"), max_bytes=10_000).collect()
+    assert len(manifest) > 5 and all(r.bytes < 13_000 for r in manifest) and sum(r.records for r in manifest) == 60
+
+
 def f_slice(data):
     import io
 
