@@ -22,14 +22,16 @@ def linear_hash(index: Column, k: int) -> Column:
 
 
 def dense_ids(keys: DataFrame, key: str, name: str) -> DataFrame:
-    """key and its rank among the distinct keys, from 0.
-
-    Keys are range-partitioned and stored; a key's id is its rank in its range plus the sizes of the ranges before, so
-    no task sorts all keys."""
-    ranged = keys.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key)
-    placed = stored(ranged.withColumn("range", F.spark_partition_id()), "ranges")
+    """key and its rank among the distinct keys, from 0; null keys have none, and an empty table gives an empty result.
+
+    Distinct keys are stored, then dealt to ranges and numbered within them as they are written, so that no task sorts all
+    keys; a key's id is its place in its range plus the sizes of the ranges before."""
+    distinct = stored(keys.select(key).where(F.col(key).isNotNull()).distinct(), "keys")
+    ranged = distinct.repartitionByRange(key).sortWithinPartitions(key)
+    # Number of the partition above bit 33, place within it below.
+    placed = stored(ranged.withColumn("place", F.monotonically_increasing_id()), "ranges")
+    placed = placed.select(key, F.shiftright("place", 33).alias("range"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("rank"))
     sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
     ahead = sizes.select("range", F.coalesce(before, F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
-    return placed.withColumn("rank", rank).join(F.broadcast(ahead), "range").select(key, (F.col("rank") + F.col("ahead")).alias(name))
+    return placed.join(F.broadcast(ahead), "range").select(key, (F.col("rank") + F.col("ahead")).alias(name))

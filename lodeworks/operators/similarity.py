@@ -1,16 +1,28 @@
-"""Jaccard similarity of token sets: exact join with prefix filter, and MinHash with banding."""
+"""Jaccard similarity of token sets: exact join with prefix filter, and MinHash with banding.
+
+Sets are (id, items): one row an id, items an array of any one type. Tokens are compared as 64-bit hashes; sets with equal
+items are one class, found by a 128-bit hash, and only classes are compared.
+
+Defined cases: null items and repeated ones within a set play no part; a set without items (or with null for items) is similar
+to nothing and has no row in any result; equal sets of different ids are pairs of similarity 1; other columns are ignored;
+empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.hashing import MODULUS, dense_ids, linear_hash
-from lodeworks.storage import stored
+from lodeworks.functions.hashing import MODULUS, coefficients, dense_ids
+from lodeworks.storage import bounded, stored
 
 BANDS, ROWS = 50, 3
+#: Sets from which on a token is hot: there are few such tokens, so they are broadcast where the dictionary is not.
+HOT = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -19,13 +31,15 @@ def tokens(text: Column) -> Column:
 
 
 def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("id"), tokens(F.col(text)).alias("items")).where(F.size("items") > 0)
+    """id, items of the rows whose text (null: none) has a token."""
+    # Not a filter on the tokens, which would make them twice.
+    return df.where(F.col(text).rlike("[^ ]")).select(F.col(key).alias("id"), tokens(F.col(text)).alias("items"))
 
 
 def similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """id1, id2, similarity of the pairs that reach the threshold."""
-    a = sets.select(F.col("id").alias("id1"), F.col("items").alias("s1"))
-    b = sets.select(F.col("id").alias("id2"), F.col("items").alias("s2"))
+    """id1, id2, similarity of the pairs that reach the threshold. sets: id, codes."""
+    a = sets.select(F.col("id").alias("id1"), F.col("codes").alias("s1"))
+    b = sets.select(F.col("id").alias("id2"), F.col("codes").alias("s2"))
     both = pairs.join(a, "id1").join(b, "id2")
     inter = F.size(F.array_intersect("s1", "s2"))
     measured = both.select("id1", "id2", (inter / (F.size("s1") + F.size("s2") - inter)).alias("similarity"))
@@ -33,12 +47,14 @@ def similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets with equal items are one class: (id, items) of each class's smallest id, and the membership (id, rep)."""
-    sets = sets.select("id", F.array_sort("items").alias("items"))
-    reps = stored(sets.groupBy("items").agg(F.min("id").alias("rep")), "classes")
-    # Skewed classes are split by the join; items are compared whole.
-    member = stored(sets.join(reps, "items").select("id", "rep"), "members")
-    return reps.select(F.col("rep").alias("id"), "items"), member
+    """Sets with equal items are one class: (id, items, codes) of each class's smallest id, and the membership (id, rep)."""
+    codes = F.array_sort(F.array_distinct(F.transform(F.filter("items", lambda x: x.isNotNull()), lambda x: F.xxhash64(x))))
+    coded = stored(sets.select("id", "items", codes.alias("codes")), "coded").where(F.size("codes") > 0)
+    keyed = coded.select("*", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(1), F.col("codes")).alias("h2"))
+    reps = stored(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    # Only hashes and ids travel; skewed classes are split by the join.
+    member = stored(keyed.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "rep"), "members")
+    return keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "items", "codes"), member
 
 
 def expanded(found: DataFrame, member: DataFrame) -> DataFrame:
@@ -67,20 +83,38 @@ def exact_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     return expanded(representative_pairs(reps, threshold), member)
 
 
+def looked_up(rows: DataFrame, dictionary: DataFrame, key: str, frequency: DataFrame | None = None) -> DataFrame:
+    """rows joined with a stored dictionary by key: by broadcast where that is small, else by shuffle, the rows of hot keys apart.
+
+    frequency: key, df of the keys; those of at least HOT rows are few, whatever the table, and their entries are broadcast."""
+    small = bounded(dictionary, tuple(c for c, kind in dictionary.dtypes if kind == "string"))
+    if small is not dictionary or frequency is None:
+        return rows.join(small, key)
+    often = frequency.where(F.col("df") >= HOT).select(key)
+    if often.isEmpty():
+        return rows.join(dictionary, key)
+    hot = stored(dictionary.join(F.broadcast(often), key, "left_semi"), "hot")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(dictionary, key))
+
+
 def representative_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs (id1 < id2) of at least the threshold, of different sets.
+    """Pairs (id1 < id2) of at least the threshold, of different sets. sets: id, codes.
 
     Sets of n items in order of rarity: two sets that reach t share an item among their first n - ceil(t n) + 1, so only
     these prefixes are joined, and frequent items hardly ever. A pair's overlap is at most its matches in the prefixes and
     what the shorter rest after the last match has; pairs that this or their sizes rule out are not compared."""
-    sets = stored(sets, "sets")
-    rarity = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    coded = sets.select("id", F.explode("items").alias("item")).join(rarity.where("df > 1"), "item", "left")
+    sets = stored(sets.select("id", "codes"), "sets")
+    rows = sets.select("id", F.explode("codes").alias("item"))
+    rarity = stored(rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity")
+    shared = looked_up(rows, rarity, "item", rarity)
     # An item of one set alone matches nothing, but counts for the size and comes first.
-    ordered = coded.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", F.when(F.col("df").isNotNull(), F.col("item")).alias("item")))).alias("s"))
-    n = F.size("s")
-    prefix = ordered.select("id", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))).alias("at", "p"))
-    prefix = prefix.where("p.df is not null").select("id", "n", "at", F.col("p.item").alias("item"))
+    ordered = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s")).join(sets.select("id", F.size("codes").alias("n")), "id")
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
+    single = F.col("n") - F.size("s")
+    head = F.slice("s", F.lit(1), F.greatest(most - single, F.lit(0)).cast("int"))
+    prefix = ordered.select("id", "n", single.alias("single"), F.posexplode(head).alias("place", "p"))
+    prefix = stored(prefix.select("id", "n", (F.col("place") + F.col("single")).alias("at"), F.col("p.item").alias("item")), "prefixes")
     a = prefix.select(F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"), "item")
     b = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), "item")
     near = (F.col("n1") >= F.col("n2") * threshold) & (F.col("n2") >= F.col("n1") * threshold)
@@ -92,23 +126,37 @@ def representative_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def signatures(sets: DataFrame, hashes: int = BANDS * ROWS) -> DataFrame:
-    """id, signature (array<long>): the smallest value of each hash over the set's token indexes.
+    """id, signature (array<long>): the smallest value of each hash over the set's token indexes (dense ranks of the tokens).
 
-    Hashes are aggregated in passes of at most 50, which stay within generated code; tokens are not multiplied by hashes."""
+    A set's indexes are gathered once; the minima are then taken in place, a batch of sets at a time for each hash."""
+    sets = stored(sets.select("id", F.array_distinct("items").alias("items")), "sets")
     each = sets.select("id", F.explode("items").alias("item"))
-    coded = stored(each.join(dense_ids(each, "item", "idx"), "item").select("id", "idx"), "coded")
-    out, names = None, [f"h{k}" for k in range(hashes)]
-    for first in range(0, hashes, 50):
-        least = [F.least(F.min(linear_hash(F.col("idx"), k)), F.lit(MODULUS).cast("long")).alias(names[k]) for k in range(first, min(first + 50, hashes))]
-        part = coded.groupBy("id").agg(*least).select("id", F.array(*names[first : first + 50]).alias(f"s{first}"))
-        out = part if out is None else out.join(part, "id")
-    return out.select("id", F.concat(*[c for c in out.columns if c != "id"]).alias("signature"))
+    frequency = stored(each.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "frequency")
+    ids = stored(dense_ids(frequency, "item", "idx"), "ids")
+    gathered = looked_up(each, ids, "item", frequency).groupBy("id").agg(F.collect_list("idx").alias("x"))
+
+    def kernel(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            begins = lists.offsets.to_numpy()
+            # Below the modulus, products stay below 2**34.
+            x = lists.flatten().to_numpy() % MODULUS
+            out = np.empty((batch.num_rows, hashes), np.int64)
+            for k in range(hashes if batch.num_rows else 0):
+                a, b = coefficients(k)
+                out[:, k] = np.minimum.reduceat((x * a + b) % MODULUS, begins[:-1] - begins[0])
+            places = pa.array(np.arange(batch.num_rows + 1) * hashes, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(places, pa.array(out.ravel()))], names=["id", "signature"])
+
+    return gathered.mapInArrow(kernel, f"id {dict(sets.dtypes)['id']}, signature array<long>")
 
 
 def candidates(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id1 < id2 that agree in all rows of some band."""
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.slice("signature", b * rows + 1, rows).alias("key")))
-    buckets = signed.select("id", F.explode(band).alias("b"))
+    part = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.slice("signature", b * rows + 1, rows).alias("key")))
+    if bands * MODULUS**rows < 1 << 63:  # a band and its rows are one number
+        part = F.transform(part, lambda p: F.aggregate(p["key"], p["band"].cast("long"), lambda acc, x: acc * MODULUS + x))
+    buckets = signed.select("id", F.explode(part).alias("b"))
     a = buckets.select(F.col("id").alias("id1"), "b")
     b = buckets.select(F.col("id").alias("id2"), "b")
     return a.join(b, "b").where(F.col("id1") < F.col("id2")).select("id1", "id2").distinct()
@@ -117,6 +165,7 @@ def candidates(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
 def similar_by_minhash(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Candidates that exact comparison confirms: no false pair; a pair of similarity s is found with probability recall(s)."""
     reps, member = classes(sets)
+    reps = stored(reps, "representatives")
     signed = stored(signatures(reps, bands * rows), "signatures")
     return expanded(similarity(candidates(signed, bands, rows), reps, threshold), member)
 

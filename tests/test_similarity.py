@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodeworks import storage
 from lodeworks.functions.hashing import MODULUS, coefficients, dense_ids
 from lodeworks.operators import similarity
 
@@ -66,6 +68,34 @@ def test_dense_ids(spark):
     assert {r.k: r.i for r in dense_ids(df, "k", "i").collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_token_in_every_set(spark, monkeypatch, broadcast):
+    """Over many partitions, by broadcast dictionaries or with the hot tokens apart: as plain, and no task has all rows of the token."""
+    rng = random.Random(8)
+    many = [{"everywhere", *(f"t{rng.randrange(30)}" for _ in range(rng.randrange(1, 6)))} for _ in range(120)]
+    if not broadcast:
+        monkeypatch.setattr(storage, "BROADCAST_ROWS", 3)
+        monkeypatch.setattr(similarity, "HOT", 60)
+    df = sets_frame(spark, many).repartition(7)
+    assert got(similarity.exact_pairs(df, 0.7)) == pytest.approx(brute(many, 0.7))
+    names = {t: i for i, t in enumerate(sorted(set().union(*many)))}
+    expected = {i: [min((names[t] * a + b) % MODULUS for t in s) for a, b in map(coefficients, range(150))] for i, s in enumerate(many)}
+    assert {r.id: r.signature for r in similarity.signatures(df).collect()} == expected
+    spread = similarity.looked_up(df.select("id", F.explode("items").alias("item")), similarity.stored(spark.createDataFrame(names.items(), "item string, i long"), "names"),
+                                  "item", spark.createDataFrame([(t, sum(t in s for s in many)) for t in names], "item string, df long"))
+    places = spread.where("item = 'everywhere'").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in places) == 120 and len(places) >= 7
+
+
+def test_nulls_and_repeats_within_a_set(spark):
+    rows = [(1, ["a", "b", None]), (2, ["b", "a", "a"]), (3, [None]), (4, []), (5, None), (6, ["c"])]
+    df = spark.createDataFrame(rows, "id long, items array<string>")
+    assert got(similarity.exact_pairs(df)) == {(1, 2): 1.0} == got(similarity.similar_by_minhash(df))
+    assert {r.id: (r.class_id, r.n_links) for r in similarity.link_counts(df).collect()} == {1: (1, 1), 2: (1, 1), 6: (6, 0)}
+    texts = spark.createDataFrame([(1, "A  b a"), (2, " "), (3, ""), (4, None)], "k long, t string")
+    assert [tuple(r) for r in similarity.token_sets(texts, "k", "t").collect()] == [(1, ["a", "b"])]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "id long, items array<string>")
     assert similarity.exact_pairs(empty).count() == 0
