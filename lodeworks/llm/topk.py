@@ -158,7 +158,7 @@ def search_rows(
     for step in range(len(begins)):
         at = order[open_, step]
         # Nothing in this annulus, nor in any later one, can reach the floor.
-        going = bound[open_, at] ** 2 <= slack[open_] * (1 + 1e-14) - 2.0 * best.floor[open_] + 1e-3
+        going = bound[open_, at] ** 2 <= slack[open_] * (1 + 1e-12) - 2.0 * best.floor[open_] + 1e-3
         open_, at = open_[going], at[going]
         if not len(open_):
             return

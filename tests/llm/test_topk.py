@@ -122,3 +122,18 @@ def test_scores_beyond_a_long_are_refused(spark):
     df = spark.createDataFrame([(20, [1e12, 1.0], 0), (21, [1.0, 1.0], 0)], SCHEMA)
     with pytest.raises(Exception, match="too large for exact scores"):
         topk.top_k(df, is_query(), k=1).collect()
+
+
+def test_exact_scores_of_large_vectors(spark):
+    rows = [(0, [5e6, 1.0], 0), (1, [6e6, 0.0], 0), (2, [4.5e6, 1.0], 0)]
+    found = topk.top_k(spark.createDataFrame(rows, SCHEMA), is_query()).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(1, 1, 122880000000000000), (2, 2, 92160000000004096)]
+
+
+def test_many_dimensions(spark):
+    """256 of them, with some components of 5e6: exact; with all of them so: refused, as no long holds the scores."""
+    rng = random.Random(9)
+    rows = [(i, [rng.choice((5e6, -5e6)) if k % 32 == 0 else float(rng.randrange(-99, 99)) for k in range(256)], 0) for i in range(80)]
+    same(spark, rows, k=6, pivots=4, sample_rows=16, annulus=8)
+    with pytest.raises(Exception, match="too large for exact scores"):
+        topk.top_k(spark.createDataFrame([(20, [5e6] * 256, 0)], SCHEMA), is_query()).collect()
