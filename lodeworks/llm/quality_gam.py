@@ -10,7 +10,8 @@ of the id). Labels, lang, source and doc_id are no inputs. Texts are read once:
 folder, narrow, and both the join with the labels and the scoring read that table.
 
 Defined cases: a null text is an empty one (all features zero) and is scored; a null doc_id counts as the empty string
-for the fold; an id with contradicting labels teaches nothing; repeated rows are scored alike; where a class has no
+for the fold; an id with contradicting labels teaches nothing; of different texts with one id, that with the smallest features
+is learnt from; repeated rows are scored alike; where a class has no
 label, the score is the share of good labels, or one half with no label at all; an empty table gives an empty result.
 """
 
@@ -198,7 +199,7 @@ def train(features: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Gam
         .where((F.col("y") == F.col("z")) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "y")
     )
-    rows = features.where(~F.col("held_out")).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = features.where(~F.col("held_out")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)).astype(np.float64)
     return Gam().fit(x, rows.column("y").to_numpy().astype(np.float64))
 
