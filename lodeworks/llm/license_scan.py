@@ -172,7 +172,7 @@ def report(docs: DataFrame, templates=TEMPLATES, min_percent: int = MIN_PERCENT,
     )
     text = text_of(F.col("text"))
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), text, F.col("doc_id")).alias("k2"))
-    joined = rows.join(bounded(each, ("licences",)), ["k1", "k2"], "left")
+    joined = rows.join(bounded(stored(each, "best"), ("licences",)), ["k1", "k2"], "left")
     return joined.select(
         "doc_id", F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"), F.coalesce("licences", F.lit("")).alias("licences"),
         F.coalesce("best.licence", F.lit("")).alias("best_licence"), F.coalesce(-F.col("best.d"), F.lit(0.0)).alias("best_dice"),
