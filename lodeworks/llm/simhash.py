@@ -35,6 +35,8 @@ SEED = 42
 #: First bit and width of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 TILE = 20_000
+#: Rows of a key from which on its entry is broadcast, where the others are joined by shuffle.
+HOT = 100_000
 WINDOW = 256
 
 
@@ -233,15 +235,26 @@ def links(distinct: DataFrame) -> DataFrame:
     return sorted_rows.select("key", "tile", "fp").mapInArrow(kernel, "a long, b long").distinct()
 
 
+def met(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """rows joined with stored entries (key, n: its number of rows, ...) by key; where they are many, those of over HOT rows by broadcast, as these are few."""
+    every = entries.drop("n")
+    small, hot = bounded(every), entries.where(F.col("n") > HOT).drop("n")
+    if small is not every or hot.isEmpty():
+        return rows.join(small, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(every, key))
+
+
 def groups(prints: DataFrame) -> DataFrame:
     """doc_id, k1, k2, fp, c (the group), component_id (the smallest doc_id of the group). prints: stored fingerprints."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     linked = links(distinct.select("fp")).toDF("src", "dst")
     member = stored(components(linked).select(F.col("node").alias("fp"), F.col("component").alias("c")), "members")
-    named = distinct.join(member, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    smallest = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    of_print = stored(named.join(smallest, "c").select("fp", "c", "component_id"), "groups")
-    return prints.join(of_print, "fp")
+    in_group = stored(member.join(distinct, "fp"), "linked")
+    smallest = stored(in_group.groupBy("c").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    named = met(in_group.select("fp", "c", F.col("n").alias("rows")), smallest, "c").select("fp", "c", "component_id", F.col("rows").alias("n"))
+    alone = distinct.join(member.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("c"), F.col("first_id").alias("component_id"), "n")
+    return met(prints, stored(named.unionByName(alone), "groups"), "fp")
 
 
 def group_report(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from lodeworks import storage
 from lodeworks.llm import simhash
 from tests.llm.fixtures import documents, empty, key_rows, odd_documents
 
@@ -108,3 +109,20 @@ def test_links_lose_nothing(spark, monkeypatch, tile):
 def test_empty_table(spark):
     assert simhash.group_report(empty(spark)).count() == 0
     assert simhash.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_hot_keys_and_long_texts(spark, monkeypatch):
+    """All rows, also the longest, many copies of one text and of near copies, where no table is small enough to broadcast whole."""
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(simhash, "HOT", 10)
+    rows = odd_documents()
+    rows += [(1000 + i, rows[7][1], None, None, None) for i in range(40)]
+    prints = [plain_print(t) for t in dict.fromkeys(r[1] for r in rows)]
+    print_of = dict(zip(dict.fromkeys(r[1] for r in rows), prints))
+    group = plain_groups([print_of[r[1]] for r in rows])
+    least = {}
+    for r, g in zip(rows, group):
+        if r[0] is not None:
+            least[g] = min(r[0], least.get(g, r[0]))
+    expected = [(r[0], f"{print_of[r[1]]:016x}", least.get(g)) for r, g in zip(rows, group)]
+    assert key_rows(simhash.group_report(documents(spark, rows=rows)).collect()) == key_rows(expected)
