@@ -1,18 +1,20 @@
-"""Writers of the report formats. Lines are made by plans; only the documented small reports reach the driver."""
+"""Writers of the report formats, to any file system that Spark reaches. Lines are made by plans; what reaches the driver are
+the small JSON reports, and the itemset report a row at a time."""
 
 from __future__ import annotations
 
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.storage import write_text
 
-def write_json_document(report: dict[str, Any], path: str) -> None:
+
+def write_json_document(report: dict[str, Any], path: str, spark: SparkSession | None = None) -> None:
     """One JSON document, indented by four."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=4)
+    write_text(spark or SparkSession.active(), path, [json.dumps(report, indent=4)])
 
 
 def _lines(df: DataFrame, line: Column, order: list, path: str) -> None:
@@ -41,12 +43,24 @@ def itemset_report(itemsets: DataFrame, label: str) -> DataFrame:
     return joined.select(F.lit(label).alias("section"), "size", "line")
 
 
-def write_itemset_report(sections: list[DataFrame], path: str) -> None:
-    """Each section's label, then a line and a blank line a size. The report's lines (one a size) come to the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        for section in sections:
-            for i, row in enumerate(section.orderBy("size").collect()):
-                f.write((f"{row.section}:\n" if i == 0 else "") + row.line + "\n\n")
+def write_itemset_report(sections: list[tuple[str, DataFrame]], path: str) -> None:
+    """For each (label, itemsets): the label, then a line and a blank line a size. Sorted itemsets come to the driver partition by
+    partition and go on to the file, so that neither it nor a task holds a line."""
+
+    def chunks():
+        for label, itemsets in sections:
+            last = None
+            rows = itemsets.select(F.size("items").alias("size"), "items", itemset_text(F.col("items")).alias("t")).orderBy("size", "items")
+            for row in rows.toLocalIterator():
+                if row.size == last:
+                    yield "," + row.t
+                else:
+                    yield (f"{label}:\n" if last is None else "\n\n") + row.t
+                last = row.size
+            if last is not None:
+                yield "\n\n"
+
+    write_text(sections[0][1].sparkSession, path, chunks())
 
 
 def write_spaced_csv(df: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ that a lost executor costs no work done before.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,13 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a local one serves a local master;
+    on a cluster each executor would write to a disk of its own, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         path = "file:///tmp/checkpoints"
     return path.rstrip("/") + "/lodeworks"
 
@@ -53,6 +58,29 @@ def remove_path(spark: SparkSession, path: str) -> None:
         _kept.remove(path)
 
 
+def kept(stored_table: DataFrame) -> bool:
+    """Whether a table made by stored() has not been deleted."""
+    return stored_table.stored_at in _kept
+
+
+def write_text(spark: SparkSession, path: str, chunks: Iterable[str]) -> None:
+    """One text file on any file system that Spark reaches, chunk by chunk."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        held, size = [], 0
+        for chunk in chunks:
+            held.append(chunk)
+            size += len(chunk)
+            if size >= 1 << 20:
+                out.write("".join(held).encode("utf-8"))
+                held, size = [], 0
+        if held:
+            out.write("".join(held).encode("utf-8"))
+    finally:
+        out.close()
+
+
 def remove(stored_table: DataFrame) -> None:
     """Deletes a table made by stored() that nothing reads any more."""
     remove_path(stored_table.sparkSession, stored_table.stored_at)

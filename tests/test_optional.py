@@ -5,6 +5,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
+from lodeworks import storage
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -18,6 +22,29 @@ def test_entry_without_corpus_operators(tmp_path):
     assert int(out[0]) > 40 and out[1] == "True" and out[2].strip() == "[]"
 
 
+def test_entry_without_what_the_corpus_operators_need():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 40 and out[1] == "True"
+
+
+def test_a_local_folder_serves_a_local_master_alone():
+    class Session:
+        def __init__(self, master, folder=None):
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = self
+            self.master = master
+
+        def getConf(self):
+            return {}
+
+    assert storage.shared_dir(Session("local[4]")).startswith("file:/")
+    assert storage.shared_dir(Session("spark://host:7077", "hdfs://shared/x")) == "hdfs://shared/x/lodeworks"
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(Session(master))
+
+
 def test_nothing_else_imports_the_corpus_operators():
     for path in (ROOT / "lodeworks").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
