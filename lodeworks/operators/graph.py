@@ -8,16 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.pairing import sharing
 from lodeworks.storage import remove, stored
 
 
-def co_occurrence_edges(df: DataFrame, node: str, item: str, least: int = 7) -> DataFrame:
-    """src, dst of nodes that share at least ``least`` distinct items: an equi-join on the item, no cross product."""
+def co_occurrences(df: DataFrame, node: str, item: str) -> DataFrame:
+    """src < dst, n: the number of distinct items that two nodes share: an equi-join on the item, hot items in tiles. Null nodes and items play no part."""
     rows = stored(df.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node is not null and item is not null").distinct(), "pairs")
-    a = rows.select(F.col("node").alias("src"), "item")
-    b = rows.select(F.col("node").alias("dst"), "item")
-    shared = a.join(b, "item").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return shared.where(F.col("n") >= least).select("src", "dst")
+    met = sharing(rows, "item", "node", [F.col("node").alias("src")], [F.col("node").alias("dst")])
+    return met.where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def co_occurrence_edges(df: DataFrame, node: str, item: str, least: int = 7) -> DataFrame:
+    """src, dst of nodes that share at least ``least`` distinct items."""
+    return co_occurrences(df, node, item).where(F.col("n") >= least).select("src", "dst")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

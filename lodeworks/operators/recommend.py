@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import dense_ids
+from lodeworks.functions.pairing import sharing
 from lodeworks.storage import stored
 
 
@@ -40,7 +41,9 @@ def co_rated(ratings: DataFrame, pairs: DataFrame | None, key: str, shared: str)
         rows, keys = ratings.agg(n, F.count_distinct(key)).first()
         if met > pairs.count() * (rows / max(1, keys)):
             return pairs.join(left, "a").join(right, ["b", "s"])
-    return left.join(right, "s").where("a < b")
+    rows = ratings.select(F.col(shared).alias("s"), F.col(key).alias("k"), "stars")
+    met = sharing(rows, "s", "k", [F.col("k").alias("a"), F.col("stars").alias("x")], [F.col("k").alias("b"), F.col("stars").alias("y")])
+    return met.where("a < b")
 
 
 def cosine(ratings: DataFrame, pairs: DataFrame | None, key: str, shared: str) -> DataFrame:

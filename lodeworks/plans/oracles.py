@@ -248,4 +248,43 @@ SELECT vec_id AS pid, cluster FROM embeddings LEFT JOIN near ON pid = vec_id""",
     "cluster_merge_pairs": f"""WITH {POINTS}, d AS (
   SELECT x.cluster AS a, y.cluster AS b, sqrt(sum(pow((x.c - y.c) / nullif(x.sigma, 0), 2))) AS distance FROM shape x JOIN shape y ON x.dim = y.dim AND x.cluster < y.cluster GROUP BY 1, 2
 ) SELECT a, b, round(distance, 6) AS distance FROM d WHERE distance < 10.0""",
+    "file_profile": f"""
+SELECT 'n_review' AS metric, '' AS key, count(*) AS value FROM orders
+UNION ALL SELECT 'n_review_year', '', count(*) FROM orders WHERE year(o_orderdate) = 1998
+UNION ALL SELECT 'n_user', '', count(DISTINCT o_custkey) FROM orders
+UNION ALL SELECT 'n_business', '', count(DISTINCT o_orderpriority) FROM orders
+UNION ALL {top("top10_user", "CAST(o_custkey AS VARCHAR)")} UNION ALL {top("top10_business", "o_orderpriority")}""",
+    "file_averages": """
+SELECT n_name AS city, round(avg(1.0 + o_orderkey % 5), 6) AS avg_stars FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
+    "file_pairs": f"""
+WITH {PURCHASES}, per AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, count(*) AS n, count(DISTINCT l_suppkey) AS n_items FROM p GROUP BY 1)
+SELECT header, per.* FROM per, (VALUES ('given'), ('first')) AS h(header)""",
+    "file_ratings": f"WITH {PURCHASES}, {RATED} SELECT CAST(u AS VARCHAR) AS user_id, CAST(i AS VARCHAR) AS business_id, s AS stars FROM r",
+    "file_points": """
+SELECT vec_id AS pid, label AS truth, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings""",
+    "file_itemsets": f"""SELECT * FROM ({local(300, 4)}
+SELECT 'Candidates' AS section, len(arr) AS size, string_agg('(''' || array_to_string(arr, ''', ''') || ''')', ',' ORDER BY arr) AS line FROM cand GROUP BY len(arr))
+UNION ALL SELECT * FROM ({frequent(180)}
+SELECT 'Frequent Itemsets' AS section, len(arr) AS size, string_agg('(''' || array_to_string(arr, ''', ''') || ''')', ',' ORDER BY arr) AS line FROM f GROUP BY len(arr))""",
+    "file_edges": f"""
+WITH {PURCHASES}, pairs AS (SELECT DISTINCT o_custkey AS node, l_partkey AS item FROM p),
+met AS (
+  SELECT CAST(a.node AS VARCHAR) AS src, CAST(b.node AS VARCHAR) AS dst, count(*) AS n FROM pairs a JOIN pairs b ON a.item = b.item AND a.node < b.node
+  GROUP BY a.node, b.node HAVING count(*) >= 7
+)
+SELECT row_number() OVER (ORDER BY n DESC, src, dst) AS place, '(''' || src || ''', ''' || dst || '''), ' || n || '.0' AS line FROM met""",
+    "file_communities": f"""{BFS}, member AS (SELECT CAST(node AS VARCHAR) AS node, min(root) AS c FROM reach GROUP BY reach.node),
+line AS (SELECT count(*) AS n, min(node) AS first, string_agg('''' || node || '''', ', ' ORDER BY node) AS line FROM member GROUP BY c)
+SELECT row_number() OVER (ORDER BY n, first) AS place, line FROM line""",
+    "file_clustering": f"""WITH {DISTANCES}, near AS (
+  SELECT pid, arg_min(cluster, struct_pack(d := distance, c := cluster)) AS cluster FROM dist WHERE distance < 1.03 * sqrt(dims) GROUP BY 1
+)
+SELECT 'rounds' AS kind, * FROM (VALUES (1, 'Round 1: 5,0,0,4'), (2, 'Round 2: 7,1,2,3')) AS r(place, line)
+UNION ALL SELECT 'labels', row_number() OVER (ORDER BY vec_id), vec_id || ',' || coalesce(cluster, -1) FROM embeddings LEFT JOIN near ON pid = vec_id""",
+    "file_stream": "SELECT CAST(o_custkey AS VARCHAR) AS user_id, count(*) AS n FROM orders GROUP BY 1",
+    "layout_facts": "SELECT name, CAST(value AS BIGINT) AS value FROM (VALUES ('parts_of_a_key', 1), ('at_most', 4), ('by_key', 3), ('at_least', 5), ('own', 6)) AS f(name, value)",
+    "als_coverage": f"""WITH {SPLIT} SELECT u AS "user", i AS item, true AS finite FROM facts WHERE umean IS NOT NULL AND imean IS NOT NULL""",
+    "kmeans_facts": "SELECT count(*) AS n_points, CAST(10 AS BIGINT) AS n_labels, CAST(0 AS BIGINT) AS n_misplaced, true AS tighter FROM embeddings",
+    "bfr_facts": "SELECT count(*) AS n_points, CAST(0 AS BIGINT) AS n_unlabelled, true AS rounds_add_up, true AS labels_are_the_sets FROM events",
+    "confusion_margins": "SELECT event_type AS truth, count(*) AS n FROM events GROUP BY 1",
 }

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import dense_ids
 from lodeworks.operators import clusters, communities, graph, itemsets, layout, profile, recommend, similarity
+from lodeworks.plans import files
 from lodeworks.sources import sinks, tables
-from lodeworks.storage import spread_table, stored, table
+from lodeworks.storage import kept, spread_table, stored, table
 
 SUPPORT, CANDIDATE_SUPPORT, REPORT_SUPPORT, PARTS = 85, 300, 180, 4
 SHARED, RADIUS_FACTOR, MERGE_LIMIT, K = 7, 1.03, 10.0, 5
@@ -329,24 +330,82 @@ def cluster_merge_pairs(spark: SparkSession, d: str) -> DataFrame:
     return clusters.merge_pairs(clusters.cluster_stats(points, "truth"), MERGE_LIMIT).select("a", "b", six("distance"))
 
 
+@query
+def als_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The targets that get a prediction: those whose user and item are both known. finite: it is a non-negative number."""
+    found = als_predictions(spark, d)
+    return found.select("user", "item", ((F.col("prediction") >= 0) & (F.col("prediction") < float("inf"))).alias("finite"))
+
+
 @query
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
     return clusters.kmeans(tables.embedding_points(spark, d), 10).select("pid", "label")
 
 
+@query
+def kmeans_facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row of facts that hold for any KMeans result: labels are 0 .. k-1, all in use; points are tighter about their labels' means than about one."""
+    labelled = stored(clusters.kmeans(tables.embedding_points(spark, d), 10), "labelled")
+    sums = clusters.cluster_stats(labelled, "label").unionByName(clusters.cluster_stats(labelled.withColumn("all", F.lit(-1)), "all"))
+    spread = F.aggregate(F.zip_with("sums", "squares", lambda s, q: q - s * s / F.col("n")), F.lit(0.0), lambda acc, x: acc + x)
+    each = sums.select("cluster", "n", spread.alias("spread"))
+    inside, whole = F.col("cluster").between(0, 9), F.col("cluster") == -1
+    return each.agg(
+        F.sum(F.when(whole, F.col("n"))).alias("n_points"), F.count(F.when(inside, 1)).alias("n_labels"),
+        F.sum(F.when(~inside & ~whole, F.col("n")).otherwise(F.lit(0))).alias("n_misplaced"),
+        (F.sum(F.when(inside, F.col("spread"))) < F.sum(F.when(whole, F.col("spread")))).alias("tighter"),
+    )
+
+
+_fits: dict[tuple, tuple[DataFrame, list]] = {}
+
+
+def _bfr(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
+    """Labels and rounds. One fit serves all queries of a session, for as long as its labels are stored."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _fits or not kept(_fits[key][0]):
+        model = clusters.Bfr(K)
+        labels = stored(model.fit(tables.event_points(spark, d)), "labels")
+        _fits[key] = (labels, model.rounds)
+    return _fits[key]
+
+
 @query
 def bfr_assign(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.Bfr(K).fit(tables.event_points(spark, d))
+    return _bfr(spark, d)[0]
 
 
 @query
 def bfr_rounds(spark: SparkSession, d: str) -> DataFrame:
-    model = clusters.Bfr(K)
-    model.fit(tables.event_points(spark, d))
-    return clusters.rounds_frame(spark, model.rounds)
+    return clusters.rounds_frame(spark, _bfr(spark, d)[1])
 
 
 @query
-def truth_confusion(spark: SparkSession, d: str) -> DataFrame:
+def bfr_facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row of facts that hold for any BFR result: each point is labelled once, each round's sets hold all points so far, and the labels are the sets'."""
+    labels, rounds = _bfr(spark, d)
     points = tables.event_points(spark, d)
-    return clusters.confusion(clusters.Bfr(K).fit(points), points)
+    sizes = {r.chunk: r["count"] for r in clusters.chunks(points).groupBy("chunk").count().collect()}
+    seen, add_up = 0, True
+    for number, ds, _, cs, rs in rounds:
+        seen += sizes.get(number, 0)
+        add_up = add_up and ds + cs + rs == seen
+    both = points.join(labels.select("pid", "label"), "pid", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("label").isNull()).alias("n_unlabelled"), F.lit(add_up).alias("rounds_add_up"),
+        (F.count_if(F.col("label") >= 0) == (rounds[-1][1] if rounds else 0)).alias("labels_are_the_sets"),
+    )
+
+
+@query
+def truth_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.confusion(_bfr(spark, d)[0], tables.event_points(spark, d))
+
+
+@query
+def confusion_margins(spark: SparkSession, d: str) -> DataFrame:
+    """The truth comparison summed over labels."""
+    return truth_confusion(spark, d).groupBy("truth").agg(F.sum("n").alias("n"))
+
+
+QUERIES.update(files.QUERIES)

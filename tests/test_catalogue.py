@@ -8,7 +8,7 @@ from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
 #: On these small tables the co-rating graph is nearly complete; test_graph.py has fixtures for them.
-DENSE = {"bfs_path_counts", "edge_betweenness", "first_removed_edges", "girvan_newman", "connected_components", "modularity_components"}
+DENSE = {"bfs_path_counts", "edge_betweenness", "first_removed_edges", "girvan_newman", "connected_components", "modularity_components", "file_communities"}
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,10 @@ from collections import deque
 
 import pytest
 
-from lodeworks.operators import communities, graph
+from pyspark.sql import functions as F
+
+from lodeworks.functions import pairing
+from lodeworks.operators import communities, graph, recommend
 
 TRIANGLES = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5)]
 
@@ -141,3 +144,39 @@ def test_empty_graph(spark):
     assert graph.components(empty).count() == 0
     assert communities.communities(empty).count() == 0
     assert graph.modularity(empty, spark.createDataFrame([], "node long, component long")).count() == 0
+
+
+def test_a_hot_item_is_paired_in_tiles(spark, monkeypatch):
+    """An item of all nodes: the same edges, and no task pairs all its rows."""
+    monkeypatch.setattr(pairing, "TILE", 10)
+    rng = random.Random(6)
+    rows = [(u, 0) for u in range(60)] + [(rng.randrange(60), rng.randrange(1, 12)) for _ in range(400)] + [(None, 3), (7, None)]
+    df = spark.createDataFrame(rows, "u long, i long").repartition(3)
+    items = {}
+    for u, i in rows:
+        if u is not None and i is not None:
+            items.setdefault(u, set()).add(i)
+    expected = {(a, b): len(items[a] & items[b]) for a in items for b in items if a < b and items[a] & items[b]}
+    assert {(r.src, r.dst): r.n for r in graph.co_occurrences(df, "u", "i").collect()} == expected
+    pairs = pairing.sharing(df.where("u is not null").distinct(), "i", "u", [F.col("u").alias("a")], [F.col("u").alias("b")])
+    # As on large tables: no broadcast, no merging of small partitions.
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        tasks = pairs.where("i = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in tasks) == 3600 and max(r["count"] for r in tasks) < 3600
+
+
+def test_ratings_of_a_hot_entity(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "TILE", 5)
+    rng = random.Random(7)
+    rated = {(u, i): float(rng.randrange(1, 6)) for u in range(25) for i in (0, rng.randrange(1, 8))}
+    df = spark.createDataFrame([(*k, s) for k, s in rated.items()], "user long, item long, stars double")
+    tiled = {(r.a, r.b): r.w for r in recommend.cosine(df, None, "user", "item").collect()}
+    monkeypatch.setattr(pairing, "TILE", 1000)
+    assert tiled == pytest.approx({(r.a, r.b): r.w for r in recommend.cosine(df, None, "user", "item").collect()}) and len(tiled) == 300
