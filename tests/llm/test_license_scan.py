@@ -7,7 +7,7 @@ from lodeworks.llm import license_scan, oracles, queries
 from tests.compare import connect, difference
 from tests.llm.fixtures import SF, documents, empty, key_rows, odd_documents
 
-MIT = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
+MIT = license_scan.MIT_GRANT
 ROWS = [
     (900, "Intro\nReleased under the MIT License.\nreleased UNDER the mit-license!\nend", None, None, None),
     (901, MIT, None, None, None), (902, MIT.replace("copies", "COPIES").replace(" ", "\n", 3), None, None, None),
@@ -73,6 +73,25 @@ def plain_runs(text, percent=80):
     return best
 
 
+def wrapped(text, mark="", width=70):
+    return "\n".join(f"{mark} {x}".strip() for x in re.sub(f"(.{{1,{width}}})(?: |$)", "\\1\n", text).strip().split("\n"))
+
+
+def test_whole_licence_files_and_comments(spark):
+    """Whole texts, wrapped, under a title and a copyright line, as comments above code or alone: found as what they are. Runs are looked for
+    where no line and not the whole text has the licence, so the best Dice may be a line's or the whole text's."""
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(80))
+    rows, expected = [], []
+    whole = {n: t for n, t in license_scan.TEMPLATES if len(t) > 100}
+    for i, (name, text) in enumerate(sorted(whole.items())):
+        for k, doc in enumerate((f"Title of it\n\nCopyright (c) 2021 A. B.\n\n{wrapped(text)}\n", wrapped(text, "//") + "\n\n" + code, "/*\n" + wrapped(text, " *", 60) + "\n */\n" + code)):
+            rows.append((10 * i + k, doc, None, None, None))
+            expected.append((10 * i + k, name))
+    found = license_scan.report(documents(spark, rows=rows), runs=True).collect()
+    assert sorted((r.doc_id, r.best_licence) for r in found) == expected and len(whole) >= 9
+    assert all(r.best_dice >= 0.8 for r in found) and sum(r.best_dice > 0.99 for r in found) >= len(whole)
+
+
 GPL = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and len(t) > 100)
 PASSAGES = [
     (1, "MIT License\n\nCopyright (c) 2020 A B\n\n" + re.sub("(.{60,75}) ", "\\1\n", MIT) + "\n\nTHE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND\n" + "more words here " * 60),
