@@ -1,7 +1,9 @@
 """Communities by repeated removal of the edges of largest betweenness, at the largest modularity.
 
-Betweenness and removal never cross components, so each component's removal sequence is found apart, in one grouped
-kernel; a component is one task's work. The sequences (one row a round of a component: its largest betweenness, the
+Betweenness and removal never cross components, so each component's removal sequence is found apart: those of at most
+``KERNEL_EDGES`` edges each by one task's kernel, larger ones all together by rounds of the graph operators, whose every round is
+distributed and stored (no task or driver holds such a component, but each round costs a betweenness of all pairs, so time
+grows with the number of rounds). The sequences (one row a round of a component: its largest betweenness, the
 change of modularity) are then merged into global rounds, largest value first, values within epsilon together. The
 merge needs them in one place: it is a single task over rows of four numbers, at most one row an edge. The first global
 round with the largest modularity decides how many rounds of each component count; what stays connected then is a community.
@@ -16,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.operators.graph import both_ways, components
-from lodeworks.storage import stored
+from lodeworks.operators.graph import both_ways, components, edge_betweenness
+from lodeworks.storage import remove, stored
 
 EPSILON = 1e-10
+#: Edges of a component up to which one task finds its removals.
+KERNEL_EDGES = 20_000
 
 
 def edge_credits(around: dict) -> dict:
@@ -120,6 +124,38 @@ def best_rounds(rows: pd.DataFrame) -> dict:
     return at
 
 
+def piece_sums(edges: DataFrame, left: DataFrame, degree: DataFrame, m: int) -> DataFrame:
+    """component, q: modularity of the pieces that the edges left make of each component. edges: component, src, dst; degree: component, node, k."""
+    named = components(left.select("src", "dst"))
+    piece = stored(degree.join(named.withColumnRenamed("component", "c"), "node", "left").select("component", "node", "k", F.coalesce("c", "node").alias("piece")), "pieces")
+    ends = [piece.select(F.col("node").alias(end), F.col("piece").alias(f"{end}_piece")) for end in ("src", "dst")]
+    inside = edges.join(ends[0], "src").join(ends[1], "dst").groupBy("component").agg(F.count_if(F.col("src_piece") == F.col("dst_piece")).alias("inside"))
+    each = piece.groupBy("component", "piece").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+    sums = each.groupBy("component").agg(F.sum(F.col("k") * F.col("k") - F.col("k2")).alias("s"))
+    return inside.join(sums, "component").select("component", ((2 * F.col("inside") - F.col("s") / (2 * m)) / (2 * m)).alias("q"))
+
+
+def removals_by_rounds(edges: DataFrame, degree: DataFrame, m: int) -> DataFrame:
+    """The rows of the kernel (component, step, value, q, src, dst) of components of any size. edges: component, src, dst, stored."""
+    columns = ["component", "step", "value", "q", "src", "dst"]
+    kind = dict(edges.dtypes)["src"]
+    none = [F.lit(None).cast(kind).alias(c) for c in ("src", "dst")]
+    out = stored(piece_sums(edges, edges, degree, m).select("component", F.lit(0).alias("step"), F.lit(0.0).alias("value"), "q", *none), "removed")
+    left, step = edges, 0
+    while not left.isEmpty():
+        step += 1
+        scored = stored(edge_betweenness(left.select("src", "dst")).join(left, ["src", "dst"]), "scored")
+        most = scored.groupBy("component").agg(F.max("betweenness").alias("value"))
+        gone = stored(scored.join(most, "component").where(F.col("value") - F.col("betweenness") < EPSILON).select("component", "src", "dst", "value"), "gone")
+        rest = stored(left.join(gone.select("src", "dst"), ["src", "dst"], "left_anti").select("component", "src", "dst"), "rest")
+        now = gone.join(piece_sums(edges, rest, degree, m), "component").select("component", F.lit(step).alias("step"), "value", "q", "src", "dst")
+        grown = stored(out.select(columns).unionByName(now), "removed")
+        for old in [out, scored, gone, *([left] if left is not edges else [])]:
+            remove(old)
+        out, left = grown, rest
+    return out.select(columns)
+
+
 def communities(edges: DataFrame) -> DataFrame:
     """community (its smallest node), members (sorted array) at the largest modularity. An empty graph has none."""
     edges = stored(edges, "edges")
@@ -128,8 +164,11 @@ def communities(edges: DataFrame) -> DataFrame:
     if not m:
         return edges.sparkSession.createDataFrame([], f"community {kind}, members array<{kind}>")
     degree = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("k"))
-    labelled = edges.join(components(edges).withColumnRenamed("node", "src"), "src")
-    full = labelled.join(degree.select(F.col("node").alias("src"), F.col("k").alias("k1")), "src").join(degree.select(F.col("node").alias("dst"), F.col("k").alias("k2")), "dst")
+    named = stored(components(edges), "components")
+    labelled = stored(edges.join(named.withColumnRenamed("node", "src"), "src").select("component", "src", "dst"), "labelled")
+    large = stored(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > KERNEL_EDGES).select("component"), "large")  # at most m / KERNEL_EDGES rows
+    small = labelled.join(F.broadcast(large), "component", "left_anti")
+    full = small.join(degree.select(F.col("node").alias("src"), F.col("k").alias("k1")), "src").join(degree.select(F.col("node").alias("dst"), F.col("k").alias("k2")), "dst")
 
     def remove_edges(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(pdf["src"].tolist(), pdf["dst"].tolist()))
@@ -145,6 +184,10 @@ def communities(edges: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["component", "step", "value", "q", "src", "dst"]).astype({"src": "object", "dst": "object"})
 
     removed = full.groupBy("component").applyInPandas(remove_edges, f"component {kind}, step int, value double, q double, src {kind}, dst {kind}")
+    if not large.isEmpty():
+        wide = stored(labelled.join(F.broadcast(large), "component", "left_semi").select("component", "src", "dst"), "wide")
+        own = degree.join(named, "node").join(F.broadcast(large), "component", "left_semi").select("component", "node", "k")
+        removed = removed.unionByName(removals_by_rounds(wide, stored(own, "degrees"), m))
     removed = stored(removed, "removed")
     steps = removed.groupBy("component", "step").agg(F.first("value").alias("value"), F.first("q").alias("q"))
 

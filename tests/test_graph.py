@@ -138,6 +138,17 @@ def test_communities_of_several_components(spark, seed):
     assert found == expected
 
 
+def test_components_too_large_for_a_kernel(spark, monkeypatch):
+    """The same communities by rounds, where a bound sends two of three components there, a hub among them."""
+    hub = [(100, 101 + i) for i in range(6)]
+    edges = TRIANGLES + [(10, 11), (11, 12)] + hub
+    expected = {r.community: r.members for r in communities.communities(frame(spark, edges)).collect()}
+    assert expected[0] == [0, 1, 2] and expected[3] == [3, 4, 5]
+    for bound in (5,):
+        monkeypatch.setattr(communities, "KERNEL_EDGES", bound)
+        assert {r.community: r.members for r in communities.communities(frame(spark, edges)).collect()} == expected
+
+
 def test_empty_graph(spark):
     empty = frame(spark, [])
     assert graph.edge_betweenness(empty).count() == 0
