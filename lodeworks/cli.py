@@ -50,7 +50,7 @@ def _mine(found: DataFrame, support: int, parts: int, out: str) -> None:
     found = stored(found, "baskets")
     local = itemsets.local_frequent(found, support, parts, F.pmod(F.xxhash64("basket"), F.lit(parts)))
     frequent = itemsets.frequent_itemsets(found, support)
-    sinks.write_itemset_report([("Candidates", local), ("Frequent Itemsets", frequent)], out)
+    sinks.write_itemsets([("Candidates", local), ("Frequent Itemsets", frequent)], out)
 
 
 def run_itemsets(spark: SparkSession, case: int, support: int, pairs: str, out: str) -> None:

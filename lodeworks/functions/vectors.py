@@ -6,14 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def squared(a: Column) -> Column:
-    return F.transform(a, lambda x: x * x)
-
-
 def scaled(a: Column, by: Column) -> Column:
     return F.transform(a, lambda x: x / by)
 

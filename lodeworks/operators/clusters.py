@@ -3,6 +3,10 @@
 Points are (pid, truth, features). Statistics are one row a cluster: n, sums, squares. Within a batch the statistics
 stay as they were at its start, so results do not depend on row order. Statistics of bounded number (the discard and
 compression sets) come to the driver; points never do.
+
+Defined cases: points without features belong to no cluster (label -1 is for points with features that stay outside) and to no
+statistics; a null among the features leaves that dimension's sums without it; repeated points count as often as they occur;
+of equally near clusters the smallest number wins; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

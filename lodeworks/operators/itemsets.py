@@ -1,4 +1,9 @@
-"""Baskets and frequent itemsets."""
+"""Baskets and frequent itemsets.
+
+Defined cases: a null basket is a basket like any other where baskets are built, and null items play no part; repeated rows make
+no second item; a support that no set reaches, and an empty table, give an empty result; items of equal counts are
+ordered by name; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import dense_ids
-from lodeworks.storage import BROADCAST_ROWS, remove, stored
+from lodeworks.storage import bounded, remove, stored
 
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int | None = None) -> DataFrame:
@@ -44,31 +49,38 @@ def local_frequent(found: DataFrame, support: int, parts: int, part: F.Column |
 def _levels(found: DataFrame, least: float) -> DataFrame:
     """part, items, n of the itemsets that at least ``least`` baskets of a part hold.
 
-    Items and frequent sets travel as numbers that keep the items' order. An occurrence (basket, set, last item) is
-    extended by each larger frequent item of its basket and counted by (set, item), with partial sums before the shuffle."""
+    Items and frequent sets travel as numbers that keep the items' order. An occurrence (basket, head, set, last) says that a basket
+    holds a frequent set, which is its head and one last item. Two occurrences of one basket and head make a longer set: so
+    a set is only extended by items that are frequent with its head, and what is counted by (set, item), with partial
+    sums before the shuffle, is pruned. Occurrences of the next level are made again from the sets that grew alone."""
     found = stored(found.select("part", "basket", "items"), "baskets")
     rows = found.select("part", "basket", F.explode("items").alias("item"))
     single = rows.groupBy("part", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     names = stored(dense_ids(single, "item", "code").select("item", F.col("code").cast("int").alias("code")), "names")
     frequent = stored(single.join(names, "item").select("part", F.array("item").alias("items"), F.col("code").cast("long").alias("set"), "code", "n"), "frequent")
-    coded = rows.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "item")
-    items = stored(coded.join(frequent.select("part", "code"), ["part", "code"], "left_semi").select("part", "basket", "code"), "items")
-    level = items.select("part", "basket", F.col("code").cast("long").alias("set"), F.col("code").alias("last"))
+    coded = rows.join(bounded(names, ("item",)), "item").join(frequent.select("part", "code"), ["part", "code"], "left_semi")
+    level = stored(coded.select("part", "basket", F.lit(-1).cast("long").alias("head"), F.col("code").cast("long").alias("set"), F.col("code").alias("last")), "level")
     out = frequent.select("part", "items", "n")
-    held: list[DataFrame] = []
+    held = [level]
+
+    def longer(of: DataFrame) -> DataFrame:
+        other = level.select("part", "basket", "head", F.col("last").alias("code"))
+        return of.join(other, ["part", "basket", "head"]).where(F.col("code") > F.col("last")).select("part", "basket", "set", "code")
+
     while True:
-        longer = level.join(items, ["part", "basket"]).where(F.col("code") > F.col("last")).select("part", "basket", "set", "code")
-        counts = longer.groupBy("part", "set", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        grown = counts.join(names, "code").join(frequent.select("part", "set", F.col("items").alias("head")), ["part", "set"])
-        now = grown.select("part", F.concat("head", F.array("item")).alias("items"), F.col("set").alias("head"), "code", "n")
+        counts = longer(level).groupBy("part", "set", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        grown = counts.join(names, "code").join(frequent.select("part", "set", F.col("items").alias("before")), ["part", "set"])
+        now = grown.select("part", F.concat("before", F.array("item")).alias("items"), F.col("set").alias("head"), "code", "n")
         now = stored(now.withColumn("set", F.monotonically_increasing_id()), "frequent")
         if now.isEmpty():
             for frame in held:
                 remove(frame)
             return out
         out = out.unionByName(now.select("part", "items", "n"))
-        met = longer.withColumnRenamed("set", "head").join(now.select("part", "head", "code", "set"), ["part", "head", "code"])
-        level = stored(met.select("part", "basket", "set", F.col("code").alias("last")), "level")
+        grew = level.join(bounded(now.select("part", F.col("head").alias("set")).distinct()), ["part", "set"], "left_semi")
+        kept = bounded(now.select("part", F.col("head"), "code", F.col("set").alias("new")))
+        met = longer(grew).withColumnRenamed("set", "head").join(kept, ["part", "head", "code"])
+        level = stored(met.select("part", "basket", "head", F.col("new").alias("set"), F.col("code").alias("last")), "level")
         held = [*held, level]
         frequent = now
 

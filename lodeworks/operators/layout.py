@@ -1,4 +1,8 @@
-"""Partition layout: sizes, placement by an explicit partition id, co-location."""
+"""Partition layout: sizes, placement by an explicit partition id, co-location.
+
+Defined cases: rows with a null key go to one partition (the first, where the key is placed by number); repeated rows stay
+repeated; empty tables have empty partitions, and no largest number of partitions of a key (null).
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 def place(df: DataFrame, n: int, key: Column) -> DataFrame:
     """df with each row in partition pmod(key, n): the custom partition function."""
-    return df.repartitionById(n, F.pmod(key, F.lit(n)).cast("int"))
+    return df.repartitionById(n, F.coalesce(F.pmod(key, F.lit(n)).cast("int"), F.lit(0)))
 
 
 def at_most(df: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,11 @@
 
 Ratings are (user, item, stars), one row a pair; ``dedupe`` makes them so. Predictions carry the branch that made them.
 Pair weights are computed once for each distinct pair that a target needs.
+
+Defined cases: rows with a null user, item or stars belong to no pair's weight and to no prediction's sum; repeated ratings are
+one (the largest) after ``dedupe``; repeated targets get one row; where all weights are zero the fallback of the branch
+holds; an empty training table sends every target to its fallback; empty targets give an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations

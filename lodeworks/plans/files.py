@@ -104,7 +104,7 @@ def file_itemsets(spark: SparkSession, d: str) -> DataFrame:
     """The itemset report, read back: section, size, line."""
     path = new_path(spark, "itemsets")
     found = stored(itemsets.baskets(tables.purchases(spark, d), "o_custkey", "l_suppkey"), "baskets")
-    sinks.write_itemset_report([("Candidates", itemsets.local_frequent(found, 300, 4)), ("Frequent Itemsets", itemsets.frequent_itemsets(found, 180))], path)
+    sinks.write_itemsets([("Candidates", itemsets.local_frequent(found, 300, 4)), ("Frequent Itemsets", itemsets.frequent_itemsets(found, 180))], path)
     rows, section, size = [], "", 0
     for r in spark.read.text(path).collect():  # a line for each size
         if r.value.endswith(":"):

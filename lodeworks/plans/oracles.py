@@ -198,6 +198,7 @@ SELECT CAST(part AS INTEGER) AS part, count(o_custkey) AS n_items FROM (SELECT u
     "baskets_by_item": basket_rows("l_suppkey", "o_custkey"),
     "baskets_filtered": basket_rows("o_custkey", "l_suppkey", "HAVING count(*) > 40"),
     "frequent_itemsets": f"{frequent(85)} SELECT array_to_string(arr, ',') AS items, len(arr) AS size, freq FROM f",
+    "fp_growth_itemsets": f"{frequent(180)} SELECT array_to_string(arr, ',') AS items, len(arr) AS size, freq FROM f",
     "itemset_candidates": f"{local(300, 4)} SELECT array_to_string(arr, ',') AS items, len(arr) AS size FROM cand",
     "itemset_two_pass": f"{frequent(300)} SELECT array_to_string(arr, ',') AS items, freq FROM f",
     "itemset_report": f"""{frequent(180)}

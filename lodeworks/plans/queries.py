@@ -127,6 +127,11 @@ def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.frequent_itemsets(_baskets(spark, d), SUPPORT).select(joined(), F.size("items").alias("size"), "freq")
 
 
+@query
+def fp_growth_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    return itemsets.fp_growth(_baskets(spark, d), REPORT_SUPPORT).select(joined(), F.size("items").alias("size"), "freq")
+
+
 @query
 def itemset_candidates(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.local_frequent(_baskets(spark, d), CANDIDATE_SUPPORT, PARTS).select(joined(), F.size("items").alias("size"))

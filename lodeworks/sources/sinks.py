@@ -43,9 +43,20 @@ def itemset_report(itemsets: DataFrame, label: str) -> DataFrame:
     return joined.select(F.lit(label).alias("section"), "size", "line")
 
 
-def write_itemset_report(sections: list[tuple[str, DataFrame]], path: str) -> None:
-    """For each (label, itemsets): the label, then a line and a blank line a size. Sorted itemsets come to the driver partition by
-    partition and go on to the file, so that neither it nor a task holds a line."""
+def write_itemset_report(sections: list[DataFrame], path: str) -> None:
+    """Sections of itemset_report: each one's label, then a line and a blank line a size. The lines (one a size) come to the driver."""
+
+    def chunks():
+        for section in sections:
+            for i, row in enumerate(section.orderBy("size").collect()):
+                yield (f"{row.section}:\n" if i == 0 else "") + row.line + "\n\n"
+
+    write_text(sections[0].sparkSession, path, chunks())
+
+
+def write_itemsets(sections: list[tuple[str, DataFrame]], path: str) -> None:
+    """The same text of (label, itemsets) for any number of itemsets: sorted itemsets come to the driver partition by partition and go
+    on to the file, so that neither it nor a task holds a line."""
 
     def chunks():
         for label, itemsets in sections:
