@@ -236,11 +236,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def met(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """rows joined with stored entries (key, n: its number of rows, ...) by key; where they are many, those of over HOT rows by broadcast, as these are few."""
-    every = entries.drop("n")
-    small, hot = bounded(every), entries.where(F.col("n") > HOT).drop("n")
-    if small is not every or hot.isEmpty():
-        return rows.join(small, key)
+    """rows joined by key with stored entries (key, n: its number of rows, ...): those of over HOT rows by broadcast, as these are few, the others by shuffle."""
+    every, hot = entries.drop("n"), entries.where(F.col("n") > HOT).drop("n")
+    if hot.isEmpty():
+        return rows.join(every, key)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(cold.join(every, key))
 
@@ -252,7 +251,8 @@ def groups(prints: DataFrame) -> DataFrame:
     member = stored(components(linked).select(F.col("node").alias("fp"), F.col("component").alias("c")), "members")
     in_group = stored(member.join(distinct, "fp"), "linked")
     smallest = stored(in_group.groupBy("c").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
-    named = met(in_group.select("fp", "c", F.col("n").alias("rows")), smallest, "c").select("fp", "c", "component_id", F.col("rows").alias("n"))
+    few, rows = bounded(smallest), in_group.select("fp", "c", F.col("n").alias("rows"))
+    named = (met(rows, smallest, "c") if few is smallest else rows.join(few.drop("n"), "c")).select("fp", "c", "component_id", F.col("rows").alias("n"))
     alone = distinct.join(member.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("c"), F.col("first_id").alias("component_id"), "n")
     return met(prints, stored(named.unionByName(alone), "groups"), "fp")
 
