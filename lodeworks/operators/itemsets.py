@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import dense_ids
-from lodeworks.storage import bounded, remove, stored
+from lodeworks.storage import BROADCAST_ROWS, bounded, remove, stored
 
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int | None = None) -> DataFrame:
@@ -72,13 +72,15 @@ def _levels(found: DataFrame, least: float) -> DataFrame:
         grown = counts.join(names, "code").join(frequent.select("part", "set", F.col("items").alias("before")), ["part", "set"])
         now = grown.select("part", F.concat("before", F.array("item")).alias("items"), F.col("set").alias("head"), "code", "n")
         now = stored(now.withColumn("set", F.monotonically_increasing_id()), "frequent")
-        if now.isEmpty():
+        n = now.count()
+        if not n:
             for frame in held:
                 remove(frame)
             return out
         out = out.unionByName(now.select("part", "items", "n"))
-        grew = level.join(bounded(now.select("part", F.col("head").alias("set")).distinct()), ["part", "set"], "left_semi")
-        kept = bounded(now.select("part", F.col("head"), "code", F.col("set").alias("new")))
+        kept = now.select("part", "head", "code", F.col("set").alias("new"))
+        kept = F.broadcast(kept) if n <= BROADCAST_ROWS else kept  # four numbers a row
+        grew = level.join(kept.select("part", F.col("head").alias("set")), ["part", "set"], "left_semi")
         met = longer(grew).withColumnRenamed("set", "head").join(kept, ["part", "head", "code"])
         level = stored(met.select("part", "basket", "head", F.col("new").alias("set"), F.col("code").alias("last")), "level")
         held = [*held, level]
