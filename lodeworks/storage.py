@@ -7,13 +7,16 @@ that a lost executor costs no work done before.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Paths that this process has handed out and not deleted.
 _kept: list[str] = []
+#: Paths handed out within the innermost settled() of this thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 #: Rows and bytes up to which a counted table is broadcast. Larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
@@ -35,6 +38,8 @@ def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing has; clear() deletes what is written there."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     _kept.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -86,6 +91,23 @@ def remove(stored_table: DataFrame) -> None:
     remove_path(stored_table.sparkSession, stored_table.stored_at)
 
 
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """stored() of what make() returns. All other tables that were stored for it are deleted once it is written: nothing reads them
+    any more. Tables stored before stay; if make() fails, what it stored is left to clear()."""
+    outer, mine = _made.get(), []
+    token = _made.set(mine)
+    try:
+        out = stored(make(), tag)
+    finally:
+        _made.reset(token)
+        if outer is not None:
+            outer.extend(mine)
+    for path in mine:
+        if path != out.stored_at and path in _kept:
+            remove_path(out.sparkSession, path)
+    return out
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this process has stored: for the end of a program, when every result has been written."""
     for path in list(_kept):
