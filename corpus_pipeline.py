@@ -1,16 +1,20 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, secret redaction, packing.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's
-documents. All but the last return the columns of documents.
+documents. All but the last return the columns of documents. Once a stage's result is written, the tables that it made on
+the way and its predecessor's result are deleted, so the shared folder holds two stages at most.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeworks.llm import line_dedup, packing, quality_rules, secret_scan, simhash
-from lodeworks.llm.common import stored, table
+from lodeworks.llm.common import remove, table
+from lodeworks.storage import settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            remove(before)
+        before = docs
     return docs
