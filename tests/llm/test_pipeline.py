@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lodeworks import storage
 from lodeworks.llm import packing, quality_rules, secret_scan
 from tests.llm import test_line_dedup, test_simhash
 from tests.llm.fixtures import SECRETS, SF, odd_documents
@@ -83,3 +84,11 @@ def test_stages_take_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(d)).count() == 0
+
+
+def test_only_the_result_stays_stored(spark, sf_dir):
+    d, _ = sf_dir
+    before = set(storage._kept)
+    out = corpus_pipeline.run(spark, str(d))
+    assert set(storage._kept) - before == {out.stored_at}
+    assert out.count() > 0
