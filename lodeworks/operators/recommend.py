@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import dense_ids
-from lodeworks.functions.pairing import sharing
-from lodeworks.storage import stored
+from lodeworks.functions.pairing import paired, sharing
+from lodeworks.storage import remove, stored
 
 
 def dedupe(ratings: DataFrame) -> DataFrame:
@@ -54,6 +54,13 @@ def co_rated(ratings: DataFrame, pairs: DataFrame | None, key: str, shared: str)
 def cosine(ratings: DataFrame, pairs: DataFrame | None, key: str, shared: str) -> DataFrame:
     """a, b, w of all pairs, or the given ones (a < b), that share an entity; others have weight 0 and no row."""
     norm = stats(ratings, key).select(key, "norm")
+    if pairs is None:
+        # The norms travel with the ratings: a join with them would shuffle all pairs.
+        rows = stored(ratings.select(key, shared, "stars").join(norm, key), "normed")
+        dot = F.sum(F.col("x.stars") * F.col("y.stars")).alias("dot")
+        dots = paired(rows, shared, key, ["stars", "norm"], dot, F.max("x.norm").alias("na"), F.max("y.norm").alias("nb"))
+        remove(rows)
+        return dots.select("a", "b", F.try_divide("dot", F.sqrt(F.col("na") * F.col("nb"))).alias("w"))
     dots = co_rated(ratings, pairs, key, shared).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     if pairs is not None:
         dots = dots.join(pairs, ["a", "b"], "left_semi")

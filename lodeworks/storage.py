@@ -20,6 +20,8 @@ _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 #: Rows and bytes up to which a counted table is broadcast. Larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+#: Setting by which Spark deletes the shuffle files of a query that has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,12 +46,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and no executor is needed for it."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and no executor is needed for it.
+
+    The shuffle files of the write are deleted with its end, not when the driver happens to collect its garbage."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -1,7 +1,9 @@
 import math
+import random
 
 import pytest
 
+from lodeworks.functions import pairing
 from lodeworks.operators import recommend
 
 TRAIN = [("u1", "b1", 5.0), ("u1", "b2", 3.0), ("u2", "b1", 4.0), ("u2", "b2", 2.0), ("u2", "b3", 5.0), ("u3", "b1", 2.0), ("u3", "b3", 1.0)]
@@ -78,3 +80,29 @@ def got_rows(df):
 def test_dedupe_takes_one_rating(spark):
     rows = spark.createDataFrame([("a", "x", 3.0), ("a", "x", 4.0)], "user string, item string, stars double")
     assert [r.stars for r in recommend.dedupe(rows).collect()] == [4.0]
+
+
+@pytest.mark.parametrize("names", [False, True])
+@pytest.mark.parametrize("tile", [4, 5000])
+def test_all_pairs_cosine_shuffles_no_pairs(spark, monkeypatch, tile, names):
+    """Many blocks, long entities in several lists, keys far apart or no numbers: as plain; and pairs are added up where they are made."""
+    monkeypatch.setattr(pairing, "TILE", tile)
+    monkeypatch.setattr(pairing, "BLOCK_PAIRS", 30)
+    rng = random.Random(5)
+    made = {(f"u{rng.randrange(12)}", f"i{i}" if names else i**3): float(rng.randrange(1, 6)) for i in range(40) for _ in range(4)}
+    rows = [(u, i, s) for (u, i), s in made.items()]
+    train = spark.createDataFrame([*rows, (None, rows[0][1], 2.0), ("u1", None, 2.0)], f"user string, item {'string' if names else 'long'}, stars double")
+    kept = {(u, i): s for u, i, s in rows}
+    norm = {}
+    for u, i, s in [*rows, (None, rows[0][1], 2.0)]:
+        norm[i] = norm.get(i, 0) + s * s
+    expected = {}
+    for (u, a), x in kept.items():
+        for (v, b), y in kept.items():
+            if u == v and a < b:
+                expected[a, b] = expected.get((a, b), 0) + x * y
+    found = recommend.cosine(train, None, "item", "user")
+    got = {(r.a, r.b): r.w for r in found.collect()}
+    assert got == pytest.approx({(a, b): dot / math.sqrt(norm[a] * norm[b]) for (a, b), dot in expected.items()})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(arrays_zip(right")]
