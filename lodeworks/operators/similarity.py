@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import MODULUS, coefficients, dense_ids
-from lodeworks.storage import bounded, stored
+from lodeworks.operators import setblocks
+from lodeworks.storage import bounded, remove, stored
 
 BANDS, ROWS = 50, 3
 #: Sets from which on a token is hot: there are few such tokens, so they are broadcast where the dictionary is not.
@@ -36,25 +37,18 @@ def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(text).rlike("[^ ]")).select(F.col(key).alias("id"), tokens(F.col(text)).alias("items"))
 
 
-def similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """id1, id2, similarity of the pairs that reach the threshold. sets: id, codes."""
-    a = sets.select(F.col("id").alias("id1"), F.col("codes").alias("s1"))
-    b = sets.select(F.col("id").alias("id2"), F.col("codes").alias("s2"))
-    both = pairs.join(a, "id1").join(b, "id2")
-    inter = F.size(F.array_intersect("s1", "s2"))
-    measured = both.select("id1", "id2", (inter / (F.size("s1") + F.size("s2") - inter)).alias("similarity"))
-    return measured.where(F.col("similarity") >= threshold)
-
-
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets with equal items are one class: (id, items, codes) of each class's smallest id, and the membership (id, rep)."""
+    """Sets with equal items are one class: the stored (id, codes) of each class's smallest id, and the membership (id, rep)."""
     codes = F.array_sort(F.array_distinct(F.transform(F.filter("items", lambda x: x.isNotNull()), lambda x: F.xxhash64(x))))
-    coded = stored(sets.select("id", "items", codes.alias("codes")), "coded").where(F.size("codes") > 0)
-    keyed = coded.select("*", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(1), F.col("codes")).alias("h2"))
+    coded = stored(sets.select("id", codes.alias("codes")).where(F.col("id").isNotNull()), "coded")
+    keyed = coded.where(F.size("codes") > 0).select("*", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(1), F.col("codes")).alias("h2"))
     reps = stored(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     # Only hashes and ids travel; skewed classes are split by the join.
     member = stored(keyed.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "rep"), "members")
-    return keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "items", "codes"), member
+    copies = bounded(member.where(F.col("id") != F.col("rep")).select("id"))
+    single = stored(coded.where(F.size("codes") > 0).join(copies, "id", "left_anti").select("id", "codes"), "representatives")
+    remove(coded)
+    return single, member
 
 
 def expanded(found: DataFrame, member: DataFrame) -> DataFrame:
@@ -69,7 +63,7 @@ def expanded(found: DataFrame, member: DataFrame) -> DataFrame:
 def link_counts(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """id, class_id, n_links (sets of at least the threshold, its own left out) of every set; copies are not expanded to pairs."""
     reps, member = classes(sets)
-    found = stored(representative_pairs(reps, threshold), "pairs")
+    found = representative_pairs(reps, threshold)
     size = member.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
     both = found.select(F.col("id1").alias("rep"), F.col("id2").alias("other")).unionByName(found.select(F.col("id2").alias("rep"), F.col("id1").alias("other")))
     other = both.join(size.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("links"))
@@ -99,30 +93,16 @@ def looked_up(rows: DataFrame, dictionary: DataFrame, key: str, frequency: DataF
 
 
 def representative_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs (id1 < id2) of at least the threshold, of different sets. sets: id, codes.
-
-    Sets of n items in order of rarity: two sets that reach t share an item among their first n - ceil(t n) + 1, so only
-    these prefixes are joined, and frequent items hardly ever. A pair's overlap is at most its matches in the prefixes and
-    what the shorter rest after the last match has; pairs that this or their sizes rule out are not compared."""
-    sets = stored(sets.select("id", "codes"), "sets")
-    rows = sets.select("id", F.explode("codes").alias("item"))
-    rarity = stored(rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity")
-    shared = looked_up(rows, rarity, "item", rarity)
-    # An item of one set alone matches nothing, but counts for the size and comes first.
-    ordered = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s")).join(sets.select("id", F.size("codes").alias("n")), "id")
-    most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
-    single = F.col("n") - F.size("s")
-    head = F.slice("s", F.lit(1), F.greatest(most - single, F.lit(0)).cast("int"))
-    prefix = ordered.select("id", "n", single.alias("single"), F.posexplode(head).alias("place", "p"))
-    prefix = stored(prefix.select("id", "n", (F.col("place") + F.col("single")).alias("at"), F.col("p.item").alias("item")), "prefixes")
-    a = prefix.select(F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"), "item")
-    b = prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), "item")
-    near = (F.col("n1") >= F.col("n2") * threshold) & (F.col("n2") >= F.col("n1") * threshold)
-    met = a.join(b, "item").where((F.col("id1") < F.col("id2")) & near).groupBy("id1", "id2", "n1", "n2")
-    counted = met.agg(F.count(F.lit(1)).alias("m"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
-    most = F.col("m") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
-    needed = F.lit(threshold / (1 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9
-    return similarity(counted.where(most >= needed).select("id1", "id2"), sets, threshold)
+    """Stored pairs (id1 < id2) of at least the threshold, of different sets. sets: id, codes, as classes() stores them; they are deleted.
+
+    Sets of n items in order of rarity: two sets that reach t share an item among their first items, fewer the nearer they are in
+    size, so only these prefixes meet, and frequent items hardly ever. A pair's overlap is at most its matches in the prefixes
+    and what the shorter rest after the last match has; pairs that this, their sizes or their bit maps rule out are not compared."""
+    blocks, sizes = setblocks.packed(sets, setblocks.frequent(sets))
+    remove(sets)
+    found = stored(setblocks.compared(blocks, sizes, threshold), "pairs")
+    remove(blocks)
+    return found
 
 
 def signatures(sets: DataFrame, hashes: int = BANDS * ROWS) -> DataFrame:
@@ -162,12 +142,58 @@ def candidates(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     return a.join(b, "b").where(F.col("id1") < F.col("id2")).select("id1", "id2").distinct()
 
 
+def _band_keys(blocks: DataFrame, sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """block, keys: bands numbers a set of packed blocks, in the order of its sets, that stand for a band and the rows of its signature.
+
+    The indexes of a block's tokens are looked up once for each different token of the block."""
+    names = dense_ids(sets.select(F.explode("items").alias("item")), "item", "idx").select(F.xxhash64("item").alias("code"), "idx")
+    folder = blocks.stored_at
+
+    def different(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                codes = np.unique(setblocks.load(folder, k).codes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k), pa.int32()), pa.array(codes)], names=["block", "code"])
+
+    used = blocks.select("block").repartition(max(1, blocks.rdd.getNumPartitions())).mapInArrow(different, "block int, code long")
+
+    def keys(table: pa.Table) -> pa.Table:
+        k = table["block"][0].as_py()
+        codes, idx = table["code"].to_numpy(), table["idx"].to_numpy()
+        order = np.argsort(codes)
+        block = setblocks.load(folder, k)
+        # Below the modulus, products stay below 2**34.
+        x = idx[order][np.searchsorted(codes[order], block.codes)] % MODULUS
+        out = np.empty((len(block.n), bands), np.int64)
+        for band in range(bands):
+            out[:, band] = band
+            for h in range(band * rows, band * rows + rows):
+                a, b = coefficients(h)
+                out[:, band] = out[:, band] * MODULUS + np.minimum.reduceat((x * a + b) % MODULUS, block.begins)
+        flat = out.ravel()
+        return pa.table({"block": pa.array([k], pa.int32()), "keys": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))})
+
+    return stored(used.join(names, "code").groupBy("block").applyInArrow(keys, "block int, keys array<long>"), "bands", "block")
+
+
 def similar_by_minhash(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Candidates that exact comparison confirms: no false pair; a pair of similarity s is found with probability recall(s)."""
+    """Candidates that exact comparison confirms: no false pair; a pair of similarity s is found with probability recall(s).
+
+    A band and its rows are one number (beyond 63 bits: modulo 2**64). Candidates are made where two blocks of sets meet, and
+    those that sizes and bit maps rule out are not compared."""
     reps, member = classes(sets)
-    reps = stored(reps, "representatives")
-    signed = stored(signatures(reps, bands * rows), "signatures")
-    return expanded(similarity(candidates(signed, bands, rows), reps, threshold), member)
+    blocks, sizes = setblocks.packed(reps)
+    remove(reps)
+    banded = _band_keys(blocks, sets, bands, rows)
+    folder = banded.stored_at
+
+    def keyed(block: int) -> np.ndarray:
+        return setblocks.read(folder, block)["keys"].combine_chunks().flatten().to_numpy()
+
+    found = stored(setblocks.compared(blocks, sizes, threshold, keyed), "pairs")
+    remove(blocks)
+    remove(banded)
+    return expanded(found, member)
 
 
 def recall(s: float, bands: int = BANDS, rows: int = ROWS) -> float:

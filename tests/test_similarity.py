@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodeworks import storage
 from lodeworks.functions.hashing import MODULUS, coefficients, dense_ids
-from lodeworks.operators import similarity
+from lodeworks.operators import setblocks, similarity
 
 
 def sets_frame(spark, sets):
@@ -100,3 +102,52 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "id long, items array<string>")
     assert similarity.exact_pairs(empty).count() == 0
     assert similarity.similar_by_minhash(empty).count() == 0
+
+
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    nothing = gateway.jvm.java.util.ArrayList()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(nothing, False, False, gateway.new_array(gateway.jvm.double, 0), nothing)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("find, tokens", [("exact_pairs", 60), ("link_counts", 60), ("similar_by_minhash", 36)])
+def test_candidates_are_not_shuffled(spark, find, tokens):
+    """600 sets of 12 tokens: most of the 180,000 pairs share rare enough tokens, or many a band, and hardly any are similar."""
+    rng = random.Random(4)
+    df = sets_frame(spark, [{f"t{x}" for x in rng.sample(range(tokens), 12)} for _ in range(600)])
+    before = shuffled(spark)
+    assert getattr(similarity, find)(df).count() < 2000
+    assert shuffled(spark) - before < 30_000
+
+
+def test_blocks(spark, sets, monkeypatch):
+    """Many small blocks, and sizes of more sets than a block holds: the same pairs."""
+    monkeypatch.setattr(setblocks, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(setblocks, "BLOCK_SETS", 5)
+    monkeypatch.setattr(setblocks, "RUN", 3)
+    reps, _ = similarity.classes(sets_frame(spark, sets))
+    blocks, sizes = setblocks.packed(reps, setblocks.frequent(reps))
+    assert len(sizes) > 10
+    kept = {r.id for r in reps.collect()}
+    assert got(setblocks.compared(blocks, sizes, 0.3)) == pytest.approx({p: s for p, s in brute(sets, 0.3).items() if set(p) <= kept})
+
+
+@pytest.mark.parametrize("t", [0.2, 0.5, 0.8])
+@pytest.mark.parametrize("matches", [50, 4_000_000])
+def test_matches_in_slices(monkeypatch, t, matches):
+    monkeypatch.setattr(setblocks, "MATCHES", matches)
+    rng = random.Random(1)
+    many = sorted({tuple(sorted(rng.sample(range(80), rng.randrange(1, 30)))) for _ in range(300)}, key=len)
+
+    def block(part):
+        return setblocks.Block(pa.array(range(len(part))), np.array([len(s) for s in part]), np.array([c for s in part for c in s], np.int64))
+
+    one, two = many[:150], many[120:]
+    for a, b, same in ((one, two, False), (one, one, True)):
+        left = block(a)
+        found = {(i, j): s for x in setblocks.similar(left, left if same else block(b), t, same) for i, j, s in zip(*(y.tolist() for y in x))}
+        each = {(i, j): len({*x} & {*y}) / len({*x, *y}) for i, x in enumerate(a) for j, y in enumerate(b) if not same or i < j}
+        assert found == {p: s for p, s in each.items() if s >= t}
