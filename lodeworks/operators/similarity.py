@@ -173,7 +173,8 @@ def _band_keys(blocks: DataFrame, sets: DataFrame, bands: int, rows: int) -> Dat
         flat = out.ravel()
         return pa.table({"block": pa.array([k], pa.int32()), "keys": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))})
 
-    return stored(used.join(names, "code").groupBy("block").applyInArrow(keys, "block int, keys array<long>"), "bands", "block")
+    # The size of a kernel's rows is guessed from its input, which is one number a block here: without the hint they are broadcast.
+    return stored(used.join(names.hint("merge"), "code").groupBy("block").applyInArrow(keys, "block int, keys array<long>"), "bands", "block")
 
 
 def similar_by_minhash(sets: DataFrame, threshold: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
