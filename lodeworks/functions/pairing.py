@@ -84,10 +84,10 @@ def paired(rows: DataFrame, entity: str, key: str, values: list[str], *aggregate
     def zipped(side: str) -> Column:
         return F.explode(F.arrays_zip(*(side + c for c in ("_k", *values)))).alias(side)
 
-    def read(side: str) -> Column:
-        return F.struct(*(F.col(f"{side}.{side}{v}").alias(v) for v in values))
+    def read(side: str) -> list[Column]:
+        return [F.struct(*(F.col(f"{side}.{side}{v}").alias(v) for v in values)).alias("x" if side == "left" else "y")] if values else []
 
     one = sent.repartitionById(blocks, "_block").select("_block", zipped("left"), *("right" + c for c in ("_k", *values)))
     both = one.select("_block", "left", zipped("right")).where("left.left_k < right.right_k")
-    both = both.select("_block", F.col("left.left_k").alias("a"), F.col("right.right_k").alias("b"), read("left").alias("x"), read("right").alias("y"))
+    both = both.select("_block", F.col("left.left_k").alias("a"), F.col("right.right_k").alias("b"), *read("left"), *read("right"))
     return both.groupBy("_block", "a", "b").agg(*aggregates).drop("_block")

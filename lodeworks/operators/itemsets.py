@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import dense_ids
+from lodeworks.functions.pairing import paired
 from lodeworks.storage import BROADCAST_ROWS, bounded, remove, stored
 
 
@@ -29,13 +30,25 @@ def frequent_itemsets(found: DataFrame, support: int) -> DataFrame:
 def fp_growth(found: DataFrame, support: int) -> DataFrame:
     """The same by FP-growth, which shards conditional trees by item: for long itemsets.
 
-    Its threshold is a share that is turned into a rounded-up count; half a basket less keeps rounding from moving it."""
-    found = stored(found, "baskets")
-    n = found.count()
-    if not n or support > n:
-        return found.sparkSession.createDataFrame([], "items array<string>, freq long")
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / n)).fit(found)
-    return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
+    Items and pairs are counted first, a range of items at a time (paired()); trees are grown from the items of frequent pairs alone, as
+    the others are in no longer set. Its threshold is a share that is turned into a rounded-up count; half a basket less keeps
+    rounding from moving it."""
+    found = stored(found.select(F.monotonically_increasing_id().alias("basket"), "items"), "baskets")
+    rows = found.select("basket", F.explode("items").alias("item")).where(F.col("item").isNotNull())
+    single = stored(rows.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= support), "single")
+    out = single.select(F.array("item").alias("items"), "freq")
+    names = stored(dense_ids(single, "item", "code").select("item", F.col("code").cast("int").alias("code")), "names")
+    coded = stored(rows.join(bounded(names, ("item",)), "item").select("basket", "code"), "coded")
+    pairs = stored(paired(coded, "basket", "code", [], F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= support), "pairs")
+    remove(coded)
+    if pairs.isEmpty():
+        return out
+    useful = names.join(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct(), "code", "left_semi")
+    kept = rows.join(bounded(useful, ("item",)), "item").groupBy("basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1)
+    kept = stored(kept, "kept")
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / kept.count())).fit(kept)
+    longer = model.freqItemsets.where(F.size("items") > 1)
+    return out.unionByName(longer.select(F.array_sort("items").alias("items"), "freq"))
 
 
 def local_frequent(found: DataFrame, support: int, parts: int, part: F.Column | None = None) -> DataFrame:

@@ -72,3 +72,22 @@ def test_partitions_do_not_matter(spark, parts):
         assert rows(itemsets.frequent_itemsets(frame(spark, BASKETS), 3)) == brute(BASKETS, 3)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_trees_hold_items_of_frequent_pairs_alone(spark, monkeypatch):
+    """Many frequent items, one frequent triple: the trees are grown from its three items; without a frequent pair there is no tree."""
+    grown = []
+
+    class Seen(itemsets.FPGrowth):
+        def fit(self, found):
+            grown.append({i for r in found.collect() for i in r["items"]})
+            return super().fit(found)
+
+    monkeypatch.setattr(itemsets, "FPGrowth", Seen)
+    baskets = [{f"i{n % 7}", f"j{n % 11}", *({"x", "y", "z"} if n % 5 == 0 else set())} for n in range(100)]
+    assert rows(itemsets.fp_growth(frame(spark, baskets), 9)) == brute(baskets, 9)
+    assert grown == [{"x", "y", "z"}]
+    baskets = [{f"i{n % 7}", f"j{n % 11}"} for n in range(77)]
+    assert rows(itemsets.fp_growth(frame(spark, baskets), 5)) == brute(baskets, 5)
+    assert len(brute(baskets, 5)) == 18 and len(grown) == 1
+    assert rows(itemsets.fp_growth(frame(spark, baskets), 500)) == {}
